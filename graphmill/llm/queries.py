@@ -7,8 +7,34 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from graphmill.llm import bpe, mix, pairs, split, terms
-from graphmill.session import table
+from graphmill.llm import bpe, dedup, mix, pairs, split, terms, vectors
+from graphmill.operators.components import connected_components
+from graphmill.session import materialize, table
+
+
+def p1_found(spark: SparkSession, sf: str) -> DataFrame:
+    return dedup.id_pairs(*dedup.near_duplicates(table(spark, sf, "document_metadata")))
+
+
+def p1_groups(spark: SparkSession, sf: str) -> DataFrame:
+    """Of every record of 10 words or more, its group of similar records and the number of similar contents."""
+    members, near = dedup.near_duplicates(table(spark, sf, "document_metadata"))
+    near = materialize(near, "near")
+    linked = near.select(F.col("a").alias("n")).unionByName(near.select(F.col("b").alias("n"))).groupBy("n").agg(F.count(F.lit(1)).alias("links"))
+    parts = connected_components(near, "a", "b").withColumnRenamed("node", "n")
+    rows = members.join(linked, "n", "left").join(parts, "n", "left").select("id", F.coalesce("component", "n").alias("c"), F.coalesce("links", F.lit(0)).alias("links"))
+    names = rows.groupBy("c").agg(F.min("id").alias("group_id"))
+    return rows.join(names, "c").select("id", "group_id", "links")
+
+
+def p2_found(spark: SparkSession, sf: str) -> DataFrame:
+    best = vectors.nearest(table(spark, sf, "text_chunks"), k=5, least=0.8)
+    return best.select(F.least("id", "neighbour").alias("id_a"), F.greatest("id", "neighbour").alias("id_b")).distinct()
+
+
+def p5_found(spark: SparkSession, sf: str) -> DataFrame:
+    seen = dedup.new_records(table(spark, sf, "document_metadata"), table(spark, sf, "document_index"))
+    return seen.where("verdict in ('known', 'copy', 'near')").select("id")
 
 
 def p3_found(spark: SparkSession, sf: str) -> DataFrame:
@@ -75,9 +101,13 @@ def p9_shares(spark: SparkSession, sf: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "p1_found": p1_found,
+    "p1_groups": p1_groups,
+    "p2_found": p2_found,
     "p3_found": p3_found,
     "p3_updated_scores": p3_updated_scores,
     "p4_found": p4_found,
+    "p5_found": p5_found,
     "p6_method": p6_method,
     "p6_found": p6_found,
     "p8_ids": p8_ids,
@@ -94,6 +124,12 @@ pair AS (SELECT x.e AS entity_a, y.e AS entity_b, count(*) AS n_ab FROM item x J
 """
 
 SQL: dict[str, str] = {
+    "p1_found": """
+WITH doc AS (SELECT DISTINCT id, list_transform(regexp_extract_all(content, '[\\p{L}\\p{N}]+'), lambda w: lower(w)) AS w FROM document_metadata),
+sh AS (SELECT DISTINCT id, s FROM (SELECT id, unnest(list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2])) AS s FROM doc WHERE len(w) >= 10)),
+n AS (SELECT id, count(*) AS n FROM sh GROUP BY id),
+c AS (SELECT x.id AS id_a, y.id AS id_b, count(*) AS c FROM sh x JOIN sh y ON x.s = y.s AND x.id < y.id GROUP BY 1, 2)
+SELECT id_a, id_b FROM c JOIN n a ON a.id = id_a JOIN n b ON b.id = id_b WHERE c >= 0.5 * (a.n + b.n - c)""",
     "p3_found": _P3 + """
 SELECT entity_a, entity_b FROM pair JOIN n a ON a.e = entity_a JOIN n b ON b.e = entity_b, total
 WHERE n_ab >= 4 AND n_ab * total.n >= 8 * a.n * b.n""",
