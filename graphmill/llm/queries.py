@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from graphmill.llm import bpe, dedup, mix, pairs, split, terms, vectors
+from graphmill.llm import bpe, dedup, encoding, mix, pairs, split, terms, vectors
 from graphmill.operators.components import connected_components
 from graphmill.session import materialize, table
 
@@ -100,6 +100,14 @@ def p9_shares(spark: SparkSession, sf: str) -> DataFrame:
     return mix.reached(*_mix(spark, sf))
 
 
+def p10_found(spark: SparkSession, sf: str) -> DataFrame:
+    return encoding.Garbled(table(spark, sf, "documents")).found().withColumnRenamed("id", "doc_id")
+
+
+def p10_restored(spark: SparkSession, sf: str) -> DataFrame:
+    return encoding.Garbled(table(spark, sf, "documents")).restored().withColumnRenamed("id", "doc_id")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p1_found": p1_found,
     "p1_groups": p1_groups,
@@ -114,6 +122,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p8_round_trip": p8_round_trip,
     "p9_mix": p9_mix,
     "p9_shares": p9_shares,
+    "p10_found": p10_found,
+    "p10_restored": p10_restored,
 }
 
 _P3 = """
