@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from graphmill.llm import bpe, dedup, encoding, mix, pairs, split, terms, vectors
+from graphmill.llm import bpe, dedup, encoding, mix, names, pairs, split, terms, vectors
 from graphmill.operators.components import connected_components
 from graphmill.session import materialize, table
 
@@ -75,6 +75,17 @@ def p6_found(spark: SparkSession, sf: str) -> DataFrame:
     return field("content", _content_terms(spark, sf)).unionByName(field("keywords", terms.keyword_terms(table(spark, sf, "text_chunks"))))
 
 
+def _typed_names(spark: SparkSession, sf: str) -> DataFrame:
+    mentions = table(spark, sf, "extracted_entities").select("name", "entity_type")
+    relations = table(spark, sf, "extracted_relationships")
+    ends = relations.select(F.explode(F.array("source", "target")).alias("name"), F.lit(None).cast("string").alias("entity_type"))
+    return mentions.unionByName(ends)
+
+
+def p7_found(spark: SparkSession, sf: str) -> DataFrame:
+    return names.variant_pairs(names.variants(_typed_names(spark, sf), table(spark, sf, "given_name_forms")))
+
+
 def p8_ids(spark: SparkSession, sf: str) -> DataFrame:
     return bpe.encode_texts(table(spark, sf, "documents"))
 
@@ -118,6 +129,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p5_found": p5_found,
     "p6_method": p6_method,
     "p6_found": p6_found,
+    "p7_found": p7_found,
     "p8_ids": p8_ids,
     "p8_round_trip": p8_round_trip,
     "p9_mix": p9_mix,
