@@ -12,7 +12,7 @@ from graphmill.session import materialize
 
 def source_key(col: str):
     """Sources differing only in case or blanks are one source."""
-    return F.lower(F.regexp_replace(F.col(col), r"^\s+|\s+$", ""))
+    return F.lower(F.regexp_replace(F.col(col), r"(?U)^\s+|\s+\z", ""))
 
 
 def sized(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", path: str = VOCABULARY) -> DataFrame:

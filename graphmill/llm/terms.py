@@ -54,7 +54,7 @@ def keyword_terms(df: DataFrame, id_col: str = "id", document_col: str = "docume
     Null and blank keywords are left out; repeats inside a chunk and chunks
     delivered twice count once.
     """
-    clean = F.array_distinct(F.transform(F.col(keywords_col), lambda k: F.lower(F.regexp_replace(k, r"^\s+|\s+$", ""))))
+    clean = F.array_distinct(F.transform(F.col(keywords_col), lambda k: F.lower(F.regexp_replace(k, r"(?U)^\s+|\s+\z", ""))))
     rows = df.select(F.col(document_col).alias("document_id"), F.col(id_col).alias("id"), F.explode(clean).alias("term")).where("document_id is not null and term is not null and term != ''").distinct()
     return rows.groupBy("document_id", "term").agg(F.count(F.lit(1)).alias("tf"))
 
