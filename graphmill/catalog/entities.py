@@ -1,2 +1,132 @@
+"""Entities, mentions, relations and concepts."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from graphmill.operators import entities
+from graphmill.session import table
+
 QUERIES: dict = {}
 SQL: dict = {}
+
+
+def query(sql: str | None = None):
+    def note(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            SQL[f.__name__] = sql
+        return f
+
+    return note
+
+
+def mentions(spark, sf):
+    """Mentions with a key, each id once."""
+    e = table(spark, sf, "extracted_entities").where("entity_key is not null").dropDuplicates(["id"])
+    return e.select("id", F.col("chunk_id").alias("chunk"), F.col("entity_key").alias("entity_id"), "name", "entity_type", F.col("confidence").cast("double").alias("confidence"), F.regexp_replace("chunk_id", "_[0-9]+$", "").alias("document"))
+
+
+_MENTION = "m AS (SELECT DISTINCT ON (id) id, chunk_id, entity_key, name, entity_type, confidence::DOUBLE AS confidence, regexp_replace(chunk_id, '_[0-9]+$', '') AS document FROM extracted_entities WHERE entity_key IS NOT NULL ORDER BY id, extracted_at)"
+
+
+@query("SELECT DISTINCT chunk_id, entity_key FROM extracted_entities WHERE chunk_id IS NOT NULL AND entity_key IS NOT NULL")
+def mention_index(spark, sf):
+    return table(spark, sf, "extracted_entities").where("chunk_id is not null and entity_key is not null").select("chunk_id", "entity_key").distinct()
+
+
+@query("SELECT entity_key, count(DISTINCT chunk_id) AS chunks FROM extracted_entities WHERE entity_key IS NOT NULL GROUP BY 1 HAVING count(DISTINCT chunk_id) >= 5")
+def common_entities(spark, sf):
+    return table(spark, sf, "extracted_entities").where("entity_key is not null").groupBy("entity_key").agg(F.count_distinct("chunk_id").alias("chunks")).where("chunks >= 5")
+
+
+@query("SELECT chunk_id, count(DISTINCT entity_key) AS entities FROM extracted_entities WHERE chunk_id IS NOT NULL GROUP BY 1 HAVING count(DISTINCT entity_key) >= 4")
+def dense_chunks(spark, sf):
+    return table(spark, sf, "extracted_entities").where("chunk_id is not null").groupBy("chunk_id").agg(F.count_distinct("entity_key").alias("entities")).where("entities >= 4")
+
+
+@query("""WITH m AS (SELECT DISTINCT chunk_id, entity_key FROM extracted_entities WHERE chunk_id IS NOT NULL AND entity_key IS NOT NULL), d AS (SELECT entity_key, count(*) AS d FROM m GROUP BY 1),
+p AS (SELECT x.entity_key AS a, y.entity_key AS b, count(*) AS n FROM m x JOIN m y ON x.chunk_id = y.chunk_id AND x.entity_key < y.entity_key GROUP BY 1, 2 HAVING count(*) >= 2)
+SELECT a, b, n, round(n / (da.d + db.d - n), 6) AS jaccard FROM p JOIN d da ON da.entity_key = a JOIN d db ON db.entity_key = b""")
+def cooccurrence(spark, sf):
+    return entities.cooccurrence(table(spark, sf, "extracted_entities"), "entity_key", "chunk_id", 2).withColumn("jaccard", F.round("jaccard", 6))
+
+
+@query("""WITH e AS (SELECT lower(name) AS n, entity_type, confidence::DOUBLE AS c, chunk_id FROM (SELECT DISTINCT * FROM extracted_entities) WHERE name IS NOT NULL AND entity_type IS NOT NULL)
+SELECT n AS lower_name, entity_type, round(max(c), 6) AS confidence, count(DISTINCT chunk_id) AS chunks FROM e GROUP BY 1, 2""")
+def entity_merge(spark, sf):
+    m = table(spark, sf, "extracted_entities").where("name is not null and entity_type is not null").select(F.col("chunk_id").alias("chunk"), "name", "entity_type", F.col("confidence").cast("double").alias("confidence"))
+    out = entities.merge_entities(m, [F.lower("name"), F.col("entity_type")])
+    return out.select(F.lower("name").alias("lower_name"), "entity_type", F.round("confidence", 6).alias("confidence"), "chunks")
+
+
+@query()
+def extracted_mentions(spark, sf):
+    return entities.extract_entities(table(spark, sf, "documents"), "doc_id", "text", 0.65)
+
+
+@query()
+def extracted_relations(spark, sf):
+    m = entities.extract_entities(table(spark, sf, "documents"), "doc_id", "text", 0.65).withColumnRenamed("doc_id", "chunk")
+    return entities.relations_in_chunks(m)
+
+
+@query()
+def rule_entities(spark, sf):
+    rules = [("YEAR", r"\b1[5-9]\d\d\b|\b20\d\d\b", 0.9), ("IDENTIFIER", r"\b[a-z]+(?:_[a-z0-9]+)+\b", 0.85), ("NUMBER", r"\b\d+\b", 0.5)]
+    return entities.rule_entities(table(spark, sf, "documents"), "doc_id", "text", rules)
+
+
+@query()
+def inferred_relations(spark, sf):
+    m = entities.extract_entities(table(spark, sf, "graph_documents").dropDuplicates(["id"]), "id", "content").withColumnRenamed("id", "chunk")
+    hot = m.groupBy("entity_id").count().orderBy(F.desc("count"), "entity_id").first()
+    return entities.inferred_relations(m, hot[0] if hot else "", 0.0)
+
+
+@query()
+def linked_entities(spark, sf):
+    s = table(spark, sf, "supplier").select(F.concat(F.lit("S"), F.col("s_suppkey").cast("string")).alias("id"), F.col("s_name").alias("name"), F.lit("SUPPLIER").alias("entity_type"), F.lit(0.9).alias("confidence"))
+    return entities.linked_clusters(s, 0.97)
+
+
+@query("""WITH m AS (SELECT DISTINCT regexp_replace(chunk_id, '_[0-9]+$', '') AS document, entity_key FROM extracted_entities WHERE chunk_id IS NOT NULL AND entity_key IS NOT NULL)
+SELECT x.entity_key AS a, y.entity_key AS b, count(*) AS documents, round(least(0.7 + 0.1 * (count(*) - 1), 1.0), 6) AS confidence FROM m x JOIN m y ON x.document = y.document AND x.entity_key < y.entity_key GROUP BY 1, 2""")
+def document_relations(spark, sf):
+    m = mentions(spark, sf).select(F.col("entity_id").alias("cluster"), "document").distinct()
+    return entities.across_documents(m).withColumn("confidence", F.round("confidence", 6))
+
+
+@query("""WITH m AS (SELECT DISTINCT id, entity_key, regexp_replace(chunk_id, '_[0-9]+$', '') AS document FROM extracted_entities WHERE entity_key IS NOT NULL),
+g AS (SELECT entity_key AS cluster, count(DISTINCT document) AS documents, count(DISTINCT id) AS mentions FROM m GROUP BY 1)
+SELECT cluster, documents, mentions, round((0.4 * (ln(documents) + 1) + 0.3 * (ln(mentions) + 1) + 0.3 * documents) / 3, 6) AS importance FROM g WHERE documents > 0""")
+def entity_importance(spark, sf):
+    m = mentions(spark, sf).select(F.col("entity_id").alias("cluster"), "document")
+    return entities.importance(m).where("documents > 0").withColumn("importance", F.round("importance", 6))
+
+
+@query()
+def text_concepts(spark, sf):
+    return entities.concepts(table(spark, sf, "documents"), "doc_id", "text")
+
+
+def _concept_graph(spark, sf):
+    each = table(spark, sf, "text_chunks").select("id", F.explode("keywords").alias("k")).where("k is not null and trim(k) != ''").select("id", F.lower(F.trim("k")).alias("concept")).distinct()
+    return each, entities.cooccurrence(each, "concept", "id", 2)
+
+
+@query("""WITH c AS (SELECT DISTINCT id, lower(trim(k)) AS concept FROM (SELECT id, unnest(keywords) AS k FROM text_chunks) WHERE k IS NOT NULL AND trim(k) <> ''), d AS (SELECT concept, count(*) AS d FROM c GROUP BY 1),
+p AS (SELECT x.concept AS a, y.concept AS b, count(*) AS n FROM c x JOIN c y ON x.id = y.id AND x.concept < y.concept GROUP BY 1, 2 HAVING count(*) >= 2)
+SELECT a, b, n, round(n / (da.d + db.d - n), 6) AS jaccard FROM p JOIN d da ON da.concept = a JOIN d db ON db.concept = b""")
+def concept_edges(spark, sf):
+    return _concept_graph(spark, sf)[1].withColumn("jaccard", F.round("jaccard", 6))
+
+
+@query()
+def concept_ranking(spark, sf):
+    return entities.ranked_concepts(*_concept_graph(spark, sf), least=0.1, iterations=5)
+
+
+@query()
+def concept_search(spark, sf):
+    return entities.deepening_search(*_concept_graph(spark, sf), start=["record", "chapter"])

@@ -2,8 +2,13 @@
 
 from __future__ import annotations
 
+import hashlib
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, DoubleType
 
 
 def _col(c: str | Column) -> Column:
@@ -52,10 +57,31 @@ def random_vector(dimension: int, seed: int) -> Column:
 def hash_embedding(words: str | Column, dimension: int = 128) -> Column:
     """Mean of the words' hashed unit vectors, scaled to length 1; zeros without words.
 
-    Every word and place is hashed to a value in [-1, 1]; no model is needed.
+    Every word is hashed to values in [-1, 1]; no model is needed.  Vectors of
+    words are kept per batch, so a frequent word is hashed once.
     """
-    w = _col(words)
-    places = F.sequence(F.lit(0), F.lit(dimension - 1))
-    one = lambda x: unit(F.transform(places, lambda i: F.pmod(F.xxhash64(x, i), F.lit(2000)) / 1000.0 - 1.0))
-    zero = F.transform(places, lambda i: F.lit(0.0))
-    return unit(F.aggregate(F.transform(w, one), zero, lambda s, v: F.zip_with(s, v, lambda a, b: a + b)))
+
+    @F.pandas_udf(ArrayType(DoubleType()))
+    def embed(lists: pd.Series) -> pd.Series:
+        known: dict[str, np.ndarray] = {}
+        places = np.arange(dimension, dtype=np.uint64)
+
+        def one(word: str) -> np.ndarray:
+            if word not in known:
+                seed = np.frombuffer(hashlib.blake2b(word.encode(), digest_size=8).digest(), np.uint64)[0]
+                x = places * np.uint64(0x9E3779B97F4A7C15) + seed
+                x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+                x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+                v = ((x ^ (x >> np.uint64(31))) % np.uint64(2000)).astype(float) / 1000 - 1
+                known[word] = v / (np.linalg.norm(v) or 1.0)
+            return known[word]
+
+        def mean(ws) -> np.ndarray:
+            if ws is None or not len(ws):
+                return np.zeros(dimension)
+            v = np.mean([one(w) for w in ws if w is not None] or [np.zeros(dimension)], axis=0)
+            return v / (np.linalg.norm(v) or 1.0)
+
+        return lists.map(mean)
+
+    return embed(_col(words))
