@@ -160,11 +160,13 @@ class Garbled:
         clean = vocabulary.where(F.col("n") >= CLEAN_TEXTS)
         letters = clean.where("kind = 0").select("kind", F.explode(F.array_distinct(F.split("unit", ""))).alias("unit"), "n").where("unit != ''")
         words = clean.unionByName(letters).groupBy("kind", "unit").agg(F.max("n").alias("n"))
-        forms = words.mapInArrow(_forms_of, "kind tinyint, form string, word string, chain string, texts bigint")
+        # One word has hundreds of forms: the few words are spread over all tasks, and nothing made of them is broadcast.
+        tasks = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+        forms = words.repartition(tasks, "unit").mapInArrow(_forms_of, "kind tinyint, form string, word string, chain string, texts bigint")
         # Of several words with the same form the most frequent one is meant.
         self.table = forms.groupBy("kind", "form").agg(F.max_by(F.struct("word", "chain", "texts"), F.struct("texts", "word")).alias("was"), F.count_distinct("word").alias("ways"))
-        pieces = vocabulary.mapInArrow(_pieces_of, "kind tinyint, unit string, n bigint, form string")
-        self.hits = materialize(pieces.join(self.table, ["kind", "form"]).where("was.texts > n").select("kind", "unit", "form", "was.word", "was.chain", "ways"), "hits")
+        pieces = vocabulary.repartition(tasks, "unit").mapInArrow(_pieces_of, "kind tinyint, unit string, n bigint, form string")
+        self.hits = materialize(pieces.hint("merge").join(self.table, ["kind", "form"]).where("was.texts > n").select("kind", "unit", "form", "was.word", "was.chain", "ways"), "hits")
 
     def found(self) -> DataFrame:
         """``(id)`` of every text that holds a garbled unit, each once."""
