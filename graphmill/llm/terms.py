@@ -151,6 +151,8 @@ def adjust(scored: DataFrame, tie: list[str]) -> DataFrame:
     # ln of p * m / rank; the running minimum from the end makes it monotone.
     raw = ranked.withColumn("raw", -F.col("score") + F.log(F.col("m").cast("double")) - F.log((F.col("before") + F.col("r")).cast("double")))
     later = raw.groupBy("part").agg(F.min("raw").alias("least")).select("part", F.min("least").over(W.orderBy("part").rowsBetween(1, W.unboundedFollowing)).alias("later"))
-    low = F.min("raw").over(inside.rowsBetween(W.currentRow, W.unboundedFollowing))
+    # From the end on, as a running minimum; a frame that ends with the partition would be read anew for each row.
+    back = W.partitionBy("part").orderBy(F.asc("score"), *[F.desc(t) for t in tie])
+    low = F.min("raw").over(back.rowsBetween(W.unboundedPreceding, W.currentRow))
     out = raw.withColumn("low", low).join(F.broadcast(later), "part")
     return out.select(*scored.columns, F.least(F.lit(1.0), F.exp(F.least(F.col("low"), F.coalesce("later", "low")))).alias("q"))
