@@ -231,3 +231,34 @@ def name_search(spark, sf):
 def metadata_boost(spark, sf):
     c = table(spark, sf, "text_chunks").select(F.lit("q").alias("query_id"), "id", F.lit(0.5).alias("score"), "keywords", "chapter").dropDuplicates(["id"])
     return search.boosted_by_metadata(c, ["record", "chapter", "silent"]).select("id", F.round("score", 6).alias("score"))
+
+
+# ---------------------------------------------------------------- end to end
+
+
+def _engine(spark, sf):
+    from graphmill.api import Engine
+
+    e = Engine(spark, dimension=32)
+    e.add_documents(table(spark, sf, "graph_documents"))
+    return e
+
+
+@query()
+def build_graph(spark, sf):
+    return _engine(spark, sf).statistics()
+
+
+@query()
+def hybrid_search(spark, sf):
+    return _engine(spark, sf).search(questions(spark), 10).select("query_id", "id", "score", "rank")
+
+
+@query()
+def pagerank_search(spark, sf):
+    return _engine(spark, sf).ranked_search(questions(spark), 10, 5).select("id", "score")
+
+
+@query()
+def ask(spark, sf):
+    return _engine(spark, sf).ask(questions(spark), 5).select("query_id", "confidence", "answer")

@@ -11,6 +11,8 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 _LOCAL_DIR: str | None = None
+_RUN = uuid.uuid4().hex
+_USED: dict[str, SparkSession] = {}
 
 
 def build_session(master: str = "local[*]", app: str = "graphmill", shuffle_partitions: int = 8, **conf: str) -> SparkSession:
@@ -54,8 +56,26 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def new_path(spark: SparkSession, name: str) -> str:
-    """A path in the shared folder that nothing else uses."""
-    return f"{shared_dir(spark)}/graphmill/{name}-{uuid.uuid4().hex}"
+    """A path in the shared folder that nothing else uses; it is removed when Python ends, or by ``cleanup``."""
+    root = f"{shared_dir(spark)}/graphmill-{_RUN}"
+    if root not in _USED:
+        _USED[root] = spark
+        if len(_USED) == 1:
+            atexit.register(cleanup)
+    return f"{root}/{name}-{uuid.uuid4().hex}"
+
+
+def cleanup() -> None:
+    """Delete all scratch tables of this process; frames that read them can then no longer be used."""
+    for root, spark in list(_USED.items()):
+        try:
+            if root.startswith("file:") or "://" not in root:
+                shutil.rmtree(root.removeprefix("file://").removeprefix("file:"), ignore_errors=True)
+            else:
+                remove(spark, root)
+        except Exception:  # noqa: BLE001 - the session may be gone; what is left is scratch
+            pass
+        _USED.pop(root, None)
 
 
 def remove(spark: SparkSession, path: str) -> None:
