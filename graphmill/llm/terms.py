@@ -66,6 +66,7 @@ def distinctive(terms: DataFrame, least: float = 3.0, min_df: int = 2) -> DataFr
     document frequencies are joined to those alone.  Fewer than two documents
     give no rows.
     """
+    terms = materialize(terms, "terms")  # read three times
     df = terms.groupBy("term").agg(F.count(F.lit(1)).alias("df"), F.max("tf").alias("most")).where((F.col("df") >= min_df) & (F.col("most") > least))
     n = terms.agg(F.count_distinct("document_id").alias("n"))
     scored = terms.where(F.col("tf") > least).join(df.select("term", "df"), "term").crossJoin(F.broadcast(n)).where("n > 1")  # n is one row
@@ -99,6 +100,7 @@ def log_upper_tail(k: np.ndarray, n: np.ndarray, good: np.ndarray, total: np.nda
     their ratios, until what is left cannot change the sum.
     """
     k, n, good, total = (np.asarray(v, np.float64) for v in (k, n, good, total))
+    k = np.maximum(k, n + good - total)  # fewer cannot be drawn
     choose = lambda a, b: log_gamma(a + 1) - log_gamma(b + 1) - log_gamma(a - b + 1)
     first = choose(good, k) + choose(total - good, n - k) - choose(total, n)
     term, tail, i = np.ones_like(k), np.ones_like(k), k.copy()
@@ -122,6 +124,7 @@ def enrichment(terms: DataFrame) -> DataFrame:
     ``score`` is the negative natural logarithm of the hypergeometric upper-tail
     probability, ``q`` its Benjamini-Hochberg adjusted value over all rows.
     """
+    terms = materialize(terms, "terms")  # read four times
     length = terms.groupBy("document_id").agg(F.sum("tf").alias("length"))
     good = terms.groupBy("term").agg(F.sum("tf").alias("good"))
     whole = terms.agg(F.sum("tf").alias("total"))
