@@ -29,10 +29,6 @@ def _col(c: str | Column) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
-def _words(values: list[str]) -> Column:
-    return F.array(*[F.lit(v) for v in values])
-
-
 def clean(text: str | Column) -> Column:
     """White space collapsed and trimmed; null stays null."""
     return F.trim(F.regexp_replace(_col(text), r"\s+", " "))
@@ -60,21 +56,25 @@ def sentences_kept(text: str | Column) -> Column:
     return F.filter(F.transform(F.regexp_extract_all(t, F.lit(r"[^.!?]+[.!?]?"), F.lit(0)), clean), lambda s: s != "")
 
 
+def _bare_words(text: Column, kept: str) -> Column:
+    """Words of a text from which all but letters, digits, ``kept`` and white space is removed first."""
+    bare = F.regexp_replace(F.coalesce(text, F.lit("")), rf"[^\p{{L}}\p{{N}}{kept}\s]", "")
+    return F.split(bare, r"\s+")
+
+
 def search_tokens(text: str | Column) -> Column:
     """Tokens of keyword search: lower case, letters and digits, more than two bytes, no stop word."""
-    bare = F.transform(split_words(F.lower(_col(text))), lambda w: F.regexp_replace(w, r"[^\p{L}\p{N}]", ""))
-    return F.filter(bare, lambda w: (F.octet_length(w) > 2) & ~F.array_contains(_words(SEARCH_STOP_WORDS), w))
+    return F.filter(_bare_words(F.lower(_col(text)), ""), lambda w: (F.octet_length(w) > 2) & ~w.isin(*SEARCH_STOP_WORDS))
 
 
 def keyword_tokens(text: str | Column) -> Column:
     """Tokens of TF-IDF keywords: as in search, but with ``-`` and ``_``, and without pure numbers."""
-    bare = F.transform(split_words(_col(text)), lambda w: F.lower(F.regexp_replace(w, r"[^\p{L}\p{N}_-]", "")))
-    return F.filter(bare, lambda w: (F.octet_length(w) > 2) & ~F.array_contains(_words(KEYWORD_STOP_WORDS), w) & ~w.rlike(r"^\p{N}+$"))
+    return F.filter(_bare_words(F.lower(_col(text)), r"_\-"), lambda w: (F.octet_length(w) > 2) & ~w.isin(*KEYWORD_STOP_WORDS) & ~w.rlike(r"^\p{N}+$"))
 
 
 def plain_tokens(text: str | Column) -> Column:
     """Tokens of plain frequency keywords: lower-case words of more than three bytes, no stop word."""
-    return F.filter(split_words(F.lower(_col(text))), lambda w: (F.octet_length(w) > 3) & ~F.array_contains(_words(PLAIN_STOP_WORDS), w))
+    return F.filter(split_words(F.lower(_col(text))), lambda w: (F.octet_length(w) > 3) & ~w.isin(*PLAIN_STOP_WORDS))
 
 
 def detect_language(text: str | Column) -> Column:

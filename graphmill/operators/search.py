@@ -7,12 +7,18 @@ partitioning.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute  # noqa: F401 - used as pa.compute
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from graphmill.functions.text import content_signature, keyword_tokens, plain_tokens, search_tokens
-from graphmill.functions.vector import closeness, cosine, euclidean
+from graphmill.functions.vector import closeness, cosine
 
 #: Largest number of queries that is broadcast to the documents; more are joined by shuffle.
 FEW_QUERIES = 10_000
@@ -46,13 +52,14 @@ def bm25(docs: DataFrame, queries: DataFrame, id_col: str, text_col: str, k1: fl
     uses counts, the default counts divided by the length.
     """
     terms = queries.select("query_id", F.explode(search_tokens("query")).alias("term")).groupBy("query_id", "term").agg(F.count(F.lit(1)).alias("times"))
-    wanted = small(terms.select("term").distinct())
+    few = terms.limit(FEW_QUERIES + 1).count() <= FEW_QUERIES
+    terms, wanted = (F.broadcast(x) if few else x for x in (terms, terms.select("term").distinct()))
     toks = docs.select(F.col(id_col).alias("id"), search_tokens(text_col).alias("t"))
     whole = toks.agg(F.count(F.lit(1)).alias("docs"), F.avg(F.size("t")).alias("mean"))
     hits = toks.select("id", F.size("t").alias("length"), F.explode("t").alias("term")).join(wanted, "term", "left_semi").groupBy("id", "length", "term").agg(F.count(F.lit(1)).alias("n"))
     df = hits.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
     freq = F.col("n") / F.col("length") if tf == "relative" else F.col("n").cast("double")
-    joined = hits.join(df, "term").join(small(terms), "term").crossJoin(F.broadcast(whole))  # one row
+    joined = hits.join(df, "term").join(terms, "term").crossJoin(F.broadcast(whole))  # one row
     idf = F.log(F.col("docs") / F.col("df")) + 1
     part = F.col("times") * idf * (freq * (k1 + 1)) / (freq + k1 * (1 - b + b * F.col("length") / F.col("mean")))
     return joined.groupBy("query_id", "id").agg(F.sum(part).alias("score"))
@@ -139,23 +146,79 @@ def diverse(df: DataFrame, k: int) -> DataFrame:
 # ---------------------------------------------------------------- vectors
 
 
+def _scores(metric: str, q: np.ndarray, v: np.ndarray) -> np.ndarray:
+    """Scores of all query rows (one a line) with all vector rows, rounded so that equal vectors tie."""
+    if metric == "cosine":
+        size = np.linalg.norm(q, axis=1)[:, None] * np.linalg.norm(v, axis=1)[None, :]
+        return np.round(np.divide(q @ v.T, size, out=np.zeros(size.shape), where=size > 0), 12)
+    apart = np.sqrt(np.maximum((q * q).sum(1)[:, None] + (v * v).sum(1)[None, :] - 2 * q @ v.T, 0))
+    return np.round(np.exp(-apart) if metric == "exp_euclidean" else -apart, 9 if metric == "euclidean" else 12)
+
+
+def _best_of_batches(shared, k: int, metric: str, least: float | None, id_type: pa.DataType, query_type: pa.DataType):
+    """Of every batch of vectors the rows that may be among the ``k`` best of a query, ties included."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names, by_size = shared.value
+        for batch in batches:
+            for at in range(0, batch.num_rows, 4096):
+                part = batch.slice(at, 4096)
+                part = part.filter(pa.compute.is_valid(part.column(1)))
+                sizes = part.column(1).value_lengths().to_numpy(zero_copy_only=False)
+                for n in np.unique(sizes):
+                    if n not in by_size:
+                        continue
+                    rows = np.flatnonzero(sizes == n)
+                    v = part.column(1).take(pa.array(rows)).flatten().to_numpy(zero_copy_only=False).astype(float).reshape(len(rows), n)
+                    v = np.nan_to_num(v)
+                    which, q = by_size[n]
+                    for i in range(0, len(q), 512):
+                        s = _scores(metric, q[i : i + 512], v)
+                        keep = s >= (-np.inf if least is None else least)
+                        if s.shape[1] > k:
+                            keep &= s >= -np.partition(-s, k - 1, axis=1)[:, k - 1 : k]
+                        a, b = np.nonzero(keep)
+                        yield pa.RecordBatch.from_arrays([names.take(pa.array(which[i + a])).cast(query_type), part.column(0).take(pa.array(rows[b])).cast(id_type), pa.array(s[a, b])], ["query_id", "id", "score"])
+
+    return run
+
+
+def _query_blocks(queries: DataFrame) -> Iterator[tuple[pa.Array, dict]]:
+    """Query ids and matrices by vector length, ``FEW_QUERIES`` queries at a time."""
+    q = queries.select("query_id", "query_vector").where("query_vector is not null")
+    n = -(-q.count() // FEW_QUERIES)
+    for block in range(n):
+        mine = q if n == 1 else q.where(F.pmod(F.xxhash64("query_id"), F.lit(n)) == block)
+        got = mine.toArrow().combine_chunks()
+        if not got.num_rows:
+            continue
+        names, lists = got.column(0).combine_chunks(), got.column(1).to_pylist()
+        by_size: dict = {}
+        for i, x in enumerate(lists):
+            by_size.setdefault(len(x), []).append(i)
+        yield names, {size: (np.array(at), np.nan_to_num(np.array([lists[i] for i in at], dtype=float).reshape(len(at), size))) for size, at in by_size.items()}
+
+
 def knn(vectors: DataFrame, queries: DataFrame, k: int, id_col: str, vector_col: str, metric: str = "cosine", least: float | None = None) -> DataFrame:
     """``(query_id, id, score, rank)``: the ``k`` best vectors of each query vector, exactly.
 
-    ``queries`` has ``query_id, query_vector`` and is compared whole with every
-    row: the queries are broadcast if they are few, and the best k of each
-    partition alone are shuffled.  Metrics: ``cosine``, ``exp_euclidean``
-    (exp of minus the distance) and ``euclidean`` (nearest first).
+    ``queries`` has ``query_id, query_vector``.  It is compared whole with
+    every row: blocks of ``FEW_QUERIES`` queries are broadcast and multiplied
+    with batches of vectors, and of each batch only the rows that may be among
+    the best are shuffled.  Metrics: ``cosine``, ``exp_euclidean`` (exp of
+    minus the distance) and ``euclidean`` (nearest first).  Null vectors and
+    those of another length than the query's do not answer; ties go to the
+    smaller id.
     """
-    q = small(queries.select("query_id", "query_vector"))
-    sim = {"cosine": cosine, "exp_euclidean": closeness, "euclidean": lambda a, b: -euclidean(a, b)}[metric]("query_vector", vector_col)
-    scored = vectors.join(q, F.size(vector_col) == F.size("query_vector")).select("query_id", F.col(id_col).alias("id"), sim.alias("score"))
-    if least is not None:
-        scored = scored.where(F.col("score") >= least)
-    # First the best of each partition, so that a query's candidates are never all in one task.
-    part = W.partitionBy("query_id", "_p").orderBy(F.desc("score"), F.asc("id"))
-    first = scored.withColumn("_p", F.spark_partition_id()).withColumn("_r", F.row_number().over(part)).where(F.col("_r") <= k).drop("_r", "_p")
-    return ranked(first, k)
+    spark = vectors.sparkSession
+    rows = vectors.select(F.col(id_col).alias("id"), F.col(vector_col).alias("v"))
+    types = [pa.schema(to_arrow_schema(df.schema)).field(0).type for df in (queries.select("query_id"), rows.select("id"))]
+    schema = f"query_id {queries.schema['query_id'].dataType.simpleString()}, id {rows.schema['id'].dataType.simpleString()}, score double"
+    out = spark.createDataFrame([], schema)
+    for block in _query_blocks(queries):
+        run = _best_of_batches(spark.sparkContext.broadcast(block), k, metric, least, types[1], types[0])
+        out = out.unionByName(rows.mapInArrow(run, schema))
+    return ranked(out, k)
 
 
 def within(vectors: DataFrame, queries: DataFrame, least: float, id_col: str, vector_col: str, metric: str = "cosine") -> DataFrame:
