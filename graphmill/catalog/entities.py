@@ -130,3 +130,46 @@ def concept_ranking(spark, sf):
 @query()
 def concept_search(spark, sf):
     return entities.deepening_search(*_concept_graph(spark, sf), start=["record", "chapter"])
+
+
+# ---------------------------------------------------------------- inference
+
+
+@query()
+def cue_relations(spark, sf):
+    from graphmill.operators import inference
+
+    d = table(spark, sf, "documents").select(F.col("doc_id").alias("chunk"), F.col("text").alias("content"))
+    m = entities.extract_entities(d, "chunk", "content", 0.65)
+    return inference.relations_by_cues(m, d)
+
+
+def _relations(spark, sf):
+    r = table(spark, sf, "extracted_relationships").where("source is not null and target is not null and relation_type is not null")
+    some = r.groupBy("source", "target", "relation_type").agg(F.min(F.unix_timestamp("extracted_at")).alias("start_time"), F.max(F.unix_timestamp("extracted_at")).alias("end_time"))
+    return some.withColumn("rel_id", F.concat_ws("_", "source", "target", "relation_type"))
+
+
+@query()
+def relation_hierarchy(spark, sf):
+    from graphmill.operators import inference
+
+    return inference.relation_clusters(_relations(spark, sf)).select("level", "rel_id", "cluster", "size", "cohesion")
+
+
+@query()
+def concept_matching(spark, sf):
+    from graphmill.operators import inference
+
+    q = table(spark, sf, "documents").select(F.col("doc_id").alias("query_id"), F.col("title").alias("query")).where("query is not null")
+    return inference.concept_matches(q, _concept_graph(spark, sf)[0])
+
+
+@query()
+def query_anchors(spark, sf):
+    from graphmill.operators import inference
+
+    e = table(spark, sf, "extracted_entities").where("name is not null").select(F.col("name").alias("id"), "name").distinct()
+    r = table(spark, sf, "extracted_relationships").where("source is not null and target is not null")
+    q = spark.createDataFrame([("q1", "society of machine reading"), ("q2", "karin henry")], "query_id string, query string")
+    return inference.anchors(q, e, r, 5)

@@ -262,3 +262,27 @@ def pagerank_search(spark, sf):
 @query()
 def ask(spark, sf):
     return _engine(spark, sf).ask(questions(spark), 5).select("query_id", "confidence", "answer")
+
+
+@query()
+def refined_search(spark, sf):
+    from graphmill.operators import inference
+
+    d = table(spark, sf, "documents")
+    better = inference.refined_queries(_bm25(spark, sf), d, questions(spark), "doc_id", "text")
+    return search.ranked(search.bm25(d, better, "doc_id", "text"), 10)
+
+
+@query()
+def generated_answers(spark, sf):
+    from graphmill import models
+
+    d = table(spark, sf, "documents").select(F.col("doc_id").alias("id"), F.coalesce("text", F.lit("")).alias("content"))
+    return models.checked(models.answers(questions(spark), _bm25(spark, sf).join(d, "id"))).select("query_id", "answer", "grounded", "accepted")
+
+
+@query()
+def gleaned_entities(spark, sf):
+    from graphmill import models
+
+    return models.gleaned(table(spark, sf, "documents").where("text is not null"), "doc_id", "text")
