@@ -10,6 +10,7 @@ than the word it comes from, as a real word would not be.
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Iterator
 from functools import cache
 
@@ -22,6 +23,9 @@ from graphmill.session import materialize
 # Names of the 8-bit encodings that texts of these scripts are commonly read in.
 LATIN = ("cp1252", "latin-1", "cp1250", "iso8859-2", "iso8859-15", "cp1254", "cp437", "cp850", "cp852", "mac_roman", "mac_latin2", "cp1257")
 CYRILLIC = ("cp1251", "koi8-r", "cp866", "iso8859-5", "mac_cyrillic")
+# Encodings of wide scripts with two bytes a character, and those they are then read in.
+WIDE_WRITTEN = ("shift_jis", "euc_jp", "gbk", "big5", "euc_kr")
+WIDE_READ = ("cp1252", "latin-1", "mac_roman", "cp437", "cp1251")
 #: Encodings through which UTF-8 is also read twice, and one of them three times.
 OFTEN = ("cp1252", "latin-1", "cp1250", "cp1251", "cp437", "mac_roman")
 
@@ -30,6 +34,7 @@ WIDE = "⺀-ヿ㐀-鿿가-힯豈-﫿＀-￯"
 _TOKEN = re.compile(r"(?<![A-Za-z])[A-Za-z]*+[^\x00-\x7f]+(?:[A-Za-z]++[^\x00-\x7f]+)*+[A-Za-z]*+")
 _UNIT = re.compile(rf"[{WIDE}]|[^\x00-\x7f{WIDE}]+")
 _WIDE = re.compile(rf"[{WIDE}]")
+_WIDE_RUN = re.compile(rf"[{WIDE}]{{2,}}")
 #: Least number of texts that a clean word occurs in, least length of words swapped between 8-bit
 #: encodings, and the longest garbled form of one character.
 CLEAN_TEXTS, LEAST_LETTERS, LONGEST_CHARACTER = 2, 4, 9
@@ -75,9 +80,8 @@ def swaps(letter: str) -> tuple[tuple[str, str], ...]:
 def swapped(word: str) -> dict[str, str]:
     """Forms of a whole word written in one 8-bit encoding and read in another, or as UTF-8 with losses."""
     out: dict[str, str] = {}
-    letter = next(c for c in word if ord(c) > 127)
     done: dict[str, bytes | None] = {}
-    for written, read in swaps(letter):
+    for written, read in dict.fromkeys(pair for c in dict.fromkeys(word) if ord(c) > 127 for pair in swaps(c)):
         if written not in done:
             try:
                 done[written] = word.encode(written)
@@ -92,10 +96,28 @@ def swapped(word: str) -> dict[str, str]:
     return out
 
 
-def units(text: str) -> tuple[set[str], set[str]]:
-    """Runs of characters beyond ASCII (of scripts without spaces: characters), and whole words with such characters."""
+def wide_forms(pair: str) -> list[tuple[str, str]]:
+    """Two neighbouring characters of a wide script, written with two bytes each and read byte by byte.
+
+    Two of them make four characters that no real word has; one makes two, which may be a quote and a letter.
+    """
+    out = []
+    for written in WIDE_WRITTEN:
+        try:
+            data = pair.encode(written)
+        except UnicodeEncodeError:
+            continue
+        if len(data) == 4 and min(data) > 127:
+            out += [(read_as(data, read), f"{written}>{read}") for read in WIDE_READ]
+    return out
+
+
+def units(text: str) -> tuple[set[str], set[str], set[str]]:
+    """Runs of characters beyond ASCII (of wide scripts: characters), whole words with such characters, and pairs of wide characters."""
     words = set(_TOKEN.findall(text))
-    return {u for w in words for u in _UNIT.findall(w)}, {w for w in words if len(w) >= LEAST_LETTERS and not _WIDE.search(w)}
+    runs = [r for w in words for r in _WIDE_RUN.findall(w)]
+    pairs = {r[i : i + 2] for r in runs for i in range(len(r) - 1)}
+    return {u for w in words for u in _UNIT.findall(w)}, {w for w in words if len(w) >= LEAST_LETTERS and not _WIDE.search(w)}, pairs
 
 
 def _units_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -104,11 +126,10 @@ def _units_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             part = batch.slice(at, 500)
             ids, kinds, names = [], [], []
             for row, text in enumerate(part.column(1).to_pylist()):
-                runs, words = units(text)
-                ids += [row] * (len(runs) + len(words))
-                kinds += [0] * len(runs) + [1] * len(words)
-                names += runs
-                names += words
+                for kind, found in enumerate(units(text)):
+                    ids += [row] * len(found)
+                    kinds += [kind] * len(found)
+                    names += found
             yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(ids, pa.int64())), pa.array(kinds, pa.int8()), pa.array(names, pa.string())], ["id", "kind", "unit"])
 
 
@@ -124,6 +145,8 @@ def _forms_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                     if form != unit and (len(unit) > 1 or chain[-1] not in CYRILLIC or len(form) > 2):
                         out.append((0, form, unit, ">".join(("utf-8", *chain)), texts))
                 out.append((0, LOST, unit, "lost", texts))
+            elif kind == 2:
+                out += [(0, form, unit, chain, texts) for form, chain in wide_forms(unit)]
             elif LOST not in unit:
                 out += [(1, form, unit, chain, texts) for form, chain in swapped(unit).items()]
         cols = list(zip(*out)) or [(), (), (), (), ()]
@@ -164,8 +187,8 @@ class Garbled:
         tasks = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
         forms = words.repartition(tasks, "unit").mapInArrow(_forms_of, "kind tinyint, form string, word string, chain string, texts bigint")
         # Of several words with the same form the most frequent one is meant.
-        self.table = forms.groupBy("kind", "form").agg(F.max_by(F.struct("word", "chain", "texts"), F.struct("texts", "word")).alias("was"), F.count_distinct("word").alias("ways"))
-        pieces = vocabulary.repartition(tasks, "unit").mapInArrow(_pieces_of, "kind tinyint, unit string, n bigint, form string")
+        self.table = forms.groupBy("kind", "form").agg(F.max_by(F.struct("word", "chain", "texts"), F.struct("texts", "word", "chain")).alias("was"), F.count_distinct("word").alias("ways"))
+        pieces = vocabulary.where("kind < 2").repartition(tasks, "unit").mapInArrow(_pieces_of, "kind tinyint, unit string, n bigint, form string")
         self.hits = materialize(pieces.hint("merge").join(self.table, ["kind", "form"]).where("was.texts > n").select("kind", "unit", "form", "was.word", "was.chain", "ways"), "hits")
 
     def found(self) -> DataFrame:
@@ -180,7 +203,7 @@ class Garbled:
         reading, or has no certain original, stays.
         """
         sure = self.hits.where((F.col("kind") == 0) & (F.col("chain") != "lost") | (F.col("kind") == 1) & (F.col("ways") == 1))
-        each = self.occurs.join(sure, ["kind", "unit"]).groupBy("id").agg(F.collect_set(F.struct("kind", "unit", "form", "word")).alias("known"))
+        each = self.occurs.join(sure, ["kind", "unit"]).groupBy("id").agg(F.collect_set(F.struct("kind", "unit", "form", "word", "chain")).alias("known"))
         wrong = self.docs.join(self.found(), "id", "left_semi").join(each, "id", "left").select("id", "text", "known")
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -195,9 +218,14 @@ def restore(text: str, known: list[dict]) -> str:
     """Replace the garbled units of one text; ``known`` are its rows of the hit table."""
     words = {k["unit"]: k["word"] for k in known if k["kind"] == 1}
     forms: dict[str, dict[str, str]] = {}
+    votes: dict[str, Counter] = {}
     for k in known:
         if k["kind"] == 0:
             forms.setdefault(k["unit"], {})[k["form"]] = k["word"]
+            if k["chain"].split(">")[0] in WIDE_WRITTEN:
+                votes.setdefault(k["unit"], Counter())[k["chain"]] += 1
+    # Encodings of wide scripts share some rows; the chain that explains most of a run is meant.
+    wide = {u: max(sorted(v), key=lambda c: v[c]) for u, v in votes.items()}
 
     def unit(match: re.Match) -> str:
         run = match.group()
@@ -206,6 +234,13 @@ def restore(text: str, known: list[dict]) -> str:
             return run
         if run in table:
             return table[run]
+        if run in wide:
+            written, read = wide[run].split(">")
+            try:
+                back = {c: b for b, c in enumerate(reading(read))}
+                return bytes(back[c] for c in run).decode(written)
+            except (KeyError, UnicodeDecodeError):
+                pass
         out, at = [], 0
         while at < len(run):
             size = next((n for n in range(min(LONGEST_CHARACTER, len(run) - at), 1, -1) if run[at : at + n] in table), 0)

@@ -181,7 +181,7 @@ def test_ranks_number_each_source(spark):
 
 # ---------------------------------------------------------------- encodings
 
-CLEAN = ["Könnte der Händler natürlich größer sein", "Le théâtre générale près de l’été « à part »", "письмо хранит словарь общий северный", "検索と地図を見つける。", "Ściężka główny późny łączy", "coût €5 — “très” bien"]
+CLEAN = ["Könnte der Händler natürlich größer sein", "Le théâtre générale près de l’été « à part »", "письмо хранит словарь общий северный", "検索と地図を見つける。", "Ściężka główny późny łączy", "coût €5 — “très” bien", "część l’été"]
 
 
 @pytest.fixture(scope="module")
@@ -190,6 +190,7 @@ def corpus(spark):
         (1, encoding.garble(CLEAN[0], ("cp1252",))), (2, encoding.garble(CLEAN[1], ("latin-1",))), (3, encoding.garble(CLEAN[3], ("mac_roman",))),
         (4, encoding.read_as(CLEAN[2].encode("cp1251"), "koi8-r")), (5, encoding.garble(CLEAN[1], ("cp1252", "cp1252"))), (6, CLEAN[0].encode("latin-1").decode("utf-8", "replace")),
         (7, "plain start, " + encoding.garble(CLEAN[5], ("cp437",))), (8, encoding.garble(CLEAN[2], ("cp1251",))), (9, encoding.read_as(CLEAN[4].encode("cp1250"), "cp1252")),
+        (10, encoding.read_as(CLEAN[3].encode("euc_jp"), "latin-1")), (11, encoding.read_as(CLEAN[3].encode("shift_jis"), "cp1252")), (12, "czę¶ć"),
     ]
     good = [(100 + i, t) for i, t in enumerate(CLEAN * 4)] + [(200, None), (201, ""), (202, "caf&eacute; \\u00e9 %C3%A9"), (203, "ÂNGULO, ÓRGÃO"), (204, "हिन्दी مرحبا עברית 👩‍🔬"), (205, "x" * 100_000)]
     return spark.createDataFrame(bad + good + bad[:1], "doc_id bigint, text string").withColumn("unit", F.lit("a")).withColumn("id", F.lit(0)), bad
@@ -203,7 +204,7 @@ def test_garbled_texts_are_found(corpus):
 def test_garbled_texts_are_restored(corpus):
     df, _ = corpus
     got = {r["id"]: r["text"] for r in encoding.Garbled(df).restored().collect()}
-    want = {1: CLEAN[0], 2: CLEAN[1], 3: CLEAN[3], 4: CLEAN[2], 5: CLEAN[1], 7: "plain start, " + CLEAN[5], 8: CLEAN[2]}
+    want = {1: CLEAN[0], 2: CLEAN[1], 3: CLEAN[3], 4: CLEAN[2], 5: CLEAN[1], 7: "plain start, " + CLEAN[5], 8: CLEAN[2], 10: CLEAN[3], 12: "część"}
     assert {i: got[i] for i in want} == want
     assert "Händler" in got[6]
 
