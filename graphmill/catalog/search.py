@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from graphmill.functions import vector
-from graphmill.functions.text import SEARCH_STOP_WORDS
+from graphmill.functions.text import PLAIN_STOP_WORDS, SEARCH_STOP_WORDS
 from graphmill.operators import search
 from graphmill.session import table
 
@@ -66,7 +66,11 @@ def tfidf_keywords(spark, sf):
     return search.top_k(t, 5, ["id"], [F.desc("key"), F.asc("term")]).select("id", "term", F.round("score", 6).alias("score"))
 
 
-@query()
+_PLAIN = ", ".join(f"'{w}'" for w in PLAIN_STOP_WORDS)
+
+
+@query(f"""WITH w AS (SELECT doc_id AS id, unnest(list_filter(string_split_regex(lower(text), '\\s+'), lambda w: strlen(w) > 3 AND w NOT IN ({_PLAIN}))) AS term FROM documents), c AS (SELECT id, term, count(*) AS n FROM w GROUP BY 1, 2)
+SELECT id, term, n, rank FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY n DESC, term) AS rank FROM c) WHERE rank <= 5""")
 def frequent_words(spark, sf):
     return search.frequent_words(table(spark, sf, "documents"), "doc_id", "text", 5)
 
