@@ -100,7 +100,7 @@ class Functions:
     def register(self, name: str, function: Callable[..., DataFrame]) -> None:
         self._known[name] = function
 
-    def call(self, name: str, **arguments) -> DataFrame:
+    def call(self, name: str, /, **arguments) -> DataFrame:
         if name not in self._known:
             raise KeyError(f"no function {name!r}; there are {', '.join(sorted(self._known))}")
         if len(self.log) >= self.most_calls:
