@@ -53,8 +53,9 @@ def similar(pairs: DataFrame, sets: DataFrame, threshold: float, a: str = "a", b
 PER_PARTITION, FEWEST, SMALL_BAND, SMALL_PARTITIONS, SECOND = 6, 32, 4, 96, 3
 #: A signature shared by more sets than this says too little; see ``near_pairs`` for what it leaves over.
 LIMIT = 128
-#: Signatures that two sets must share; at similarity 0.5 they share 20 and more on average.
-LEAST_SHARED = 4
+#: Signatures that two sets must share; at similarity 0.5 they share 17 and more on average, but sets of
+#: fewer than ``FEW`` elements, which may share less, take the exact way.
+LEAST_SHARED, FEW = 4, 16
 
 
 def partitions(band: int) -> int:
@@ -96,13 +97,6 @@ def signatures(values: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.
     return np.concatenate(signs), np.concatenate(rows)
 
 
-def expected_signatures(m: Column) -> Column:
-    """About how many signatures a set of ``m`` elements has."""
-    q = F.floor(F.log2(F.greatest(m, F.lit(1)))) + 1
-    one = lambda b: (lambda n: SECOND * n * (1 - F.pow(1 - (SECOND - 1) / (SECOND * n), m)))(F.when(b <= SMALL_BAND, F.lit(float(SMALL_PARTITIONS))).otherwise(F.greatest(F.lit(float(FEWEST)), F.floor(F.pow(F.lit(2.0), b) / PER_PARTITION))))
-    return one(q) + one(q + 1)
-
-
 def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for at in range(0, batch.num_rows, 1000):
@@ -168,19 +162,21 @@ def _pairs_of_short_runs(limit: int):
 def near_pairs(sets: DataFrame, threshold: float = 0.5) -> DataFrame:
     """Pairs ``(a, b, similarity)`` of the stored sets ``(n, m, sh)`` by PartEnum signatures.
 
-    Signatures shared by more than ``LIMIT`` sets give no pairs.  A pair needs
-    but ``LEAST_SHARED`` of its many common signatures, so this loses none as
-    long as at most half of a set's signatures are that common.  The sets of
-    which more are take the exact way instead: they probe all sets by their
-    rarest elements (``probe``), as many as any similar set must meet.
+    Signatures shared by more than ``LIMIT`` sets give no pairs.  What a pair
+    shares may be just what is that common, so all sets with such a signature,
+    which a pair that needs it has on both sides, are joined among themselves
+    by an exact way: they probe each other by their rarest elements
+    (``probe``), as many as any similar set must meet.  So are small sets.
     """
     signed = sets.select("n", "sh").mapInArrow(_sign, "sign bigint, n bigint")
     counted = materialize(by_key(signed, "sign").mapInArrow(_pairs_of_short_runs(LIMIT), "a bigint, b bigint").groupBy("a", "b").agg(F.count(F.lit(1)).alias("shared")).where((F.col("shared") >= LEAST_SHARED) | (F.col("a") < 0)), "met")
     found = counted.where("a >= 0").select("a", "b")
-    common = counted.where("a < 0").select(F.col("b").alias("n"), "shared")
-    left_over = materialize(common.join(sets, "n").where(F.col("shared") > expected_signatures(F.col("m")) / 2).select("n", "m", "sh"), "left-over")
-    if not left_over.isEmpty():
-        probed = probe(left_over, sets, threshold).where("x != y").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
+    common = counted.where("a < 0").select(F.col("b").alias("n"), F.lit(True).alias("common"))
+    marked = sets.select("n", "m", "sh").join(common, "n", "left").withColumn("common", F.coalesce("common", F.lit(False)))
+    left_over = materialize(marked.where(F.col("common") | (F.col("m") < FEW / threshold)), "left-over")
+    asked = left_over.where(F.col("common") | (F.col("m") < FEW)).select("n", "m", "sh")
+    if not asked.isEmpty():
+        probed = probe(asked, left_over.select("n", "m", "sh"), threshold).where("x != y").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
         found = found.unionByName(probed).distinct()
     return similar(found, sets, threshold)
 

@@ -57,6 +57,20 @@ def test_hot_signatures_take_the_exact_way(spark):
     assert found(spark, docs) == brute(docs)
 
 
+def test_template_that_is_all_a_pair_shares(spark):
+    base = words(72, 4)
+    docs = {f"t{i:03}": " ".join(base + words(30, 2000 + i)) for i in range(400)}
+    docs |= {f"l{i:03}": " ".join(base[:40] + words(60, 5000 + i)) for i in range(150)}
+    want = brute(docs)
+    assert len(want) == 400 * 399 // 2
+    assert found(spark, docs) == want
+
+
+def test_sets_of_few_elements(spark):
+    docs = {"one": "a " * 12, "two": "a " * 11 + "b"} | {f"c{k}{i}": " ".join((words(3, k) + words(i, 50 + k)) * 4) for k in range(60) for i in range(3)}
+    assert found(spark, docs) == brute(docs)
+
+
 def test_many_copies_are_a_star(spark):
     text = " ".join(words(30, 8))
     docs = {f"c{i:03}": text for i in range(dedup.ALL_PAIRS + 10)} | {"near": text + " more"}
