@@ -57,8 +57,6 @@ Winifred: Winnie. Zachary: Zack, Zach.
 COMMON = 12
 #: A component with more spellings than this is given by its accepted pairs, not by all its pairs.
 ALL_PAIRS = 100
-#: Rows of one phonetic block that are compared with the ones after them, in order of their letters.
-REACH = 256
 FULL, WEAK = 1, 2
 #: Types of which a word may be written as its initial, and those of persons; untyped words may be either.
 INITIALLED, BORN = {"PERSON", "LOCATION", None}, {"PERSON", None}
@@ -255,21 +253,22 @@ def _keys(kind):
     return run
 
 
-def _close_in_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Close token pairs of each block; of a long block, tokens are held to the ``REACH`` before them."""
-    key, recent = None, []
+def _close_stems(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Close token pairs that have a phonetic block in common, from the tokens of each spelling with one letter left out.
+
+    All tokens one apart share such a spelling, and a spelling has but few tokens: one for each letter put in at each place.
+    """
+    key, seen = None, []
     for batch in batches:
         a, b = [], []
         for k, token in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
             if k != key:
-                key, recent = k, []
-            for other in recent:
-                if within_one(token, other) and jaro_winkler(token, other) >= 0.85:
+                key, seen = k, []
+            for other in seen:
+                if within_one(token, other) and jaro_winkler(token, other) >= 0.85 and blocks(token) & blocks(other):
                     a.append(min(token, other))
                     b.append(max(token, other))
-            recent.append(token)
-            if len(recent) > REACH:
-                recent.pop(0)
+            seen.append(token)
         yield pa.RecordBatch.from_arrays([pa.array(a, pa.string()), pa.array(b, pa.string())], ["a", "b"])
 
 
@@ -331,7 +330,7 @@ def variants(names: DataFrame, nicknames: DataFrame, name_col: str = "name", typ
     same = stemmed.join(reps.select("rep", F.array_join(F.array_sort(F.transform("w", lambda x: x["t"])), " ").alias("form")), "form").where("name != rep").select(F.col("rep").alias("a"), F.col("name").alias("b"))
 
     stems = reps.select("stem").distinct().where("length(stem) >= 5").withColumnRenamed("stem", "token")
-    close = by_key(stems.mapInArrow(_keys(blocks), "key string, token string"), "key", "token").mapInArrow(_close_in_blocks, "a string, b string").distinct()
+    close = by_key(stems.mapInArrow(_keys(_spellings), "key string, token string"), "key", "token").mapInArrow(_close_stems, "a string, b string").distinct()
     alike = close.unionByName(reps.select(F.col("stem").alias("a"), F.col("stem").alias("b")).distinct())
     left = reps.select(F.col("rep").alias("name_a"), F.col("w").alias("wa"), F.col("stem").alias("a"))
     other = reps.select(F.col("rep").alias("name_b"), F.col("w").alias("wb"), F.col("stem").alias("b"))

@@ -57,3 +57,11 @@ def test_blocks_survive_one_wrong_letter():
     for i in range(1, len(word)):
         for other in (word[:i] + word[i + 1 :], word[:i] + "t" + word[i + 1 :], word[:i] + "t" + word[i:], word[: i - 1] + word[i] + word[i - 1] + word[i + 1 :] if i > 1 else word):
             assert names.blocks(word) & names.blocks(other), other
+
+
+def test_close_stems_far_apart_in_a_long_block(spark):
+    stems = ["".join(x) for x in itertools.product("b", "eio", "aeiou", "aeiou", "t", "aeiou", "r")]
+    rows = [(s, "CONCEPT") for s in stems] + [("Xavier Baatoir", "PERSON"), ("Xavier Buatoir", "PERSON")]
+    nick = spark.createDataFrame([], "given_name string, short_form string")
+    got = {tuple(r) for r in names.variants(spark.createDataFrame(rows, "name string, entity_type string"), nick).collect()}
+    assert got == {("Xavier Baatoir", "Xavier Buatoir")}
