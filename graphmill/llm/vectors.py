@@ -8,12 +8,14 @@ nearer half?) are close; they are ranked by footrule distance of the ordered
 pivots, cut at a distance and not at a number, and reranked by exact cosine.
 
 The number of pivots grows with the square root of the number of vectors, so
-the expected length of a posting list is constant and the work linear.
+the expected length of a posting list of evenly spread vectors is constant and
+the work linear.  Lists of crowded vectors are longer and give all their pairs.
 """
 
 from __future__ import annotations
 
 import math
+import sys
 from collections.abc import Iterator
 
 import numpy as np
@@ -31,8 +33,6 @@ PREFIX = 9
 PIVOTS_PER_ROOT, FEWEST_PIVOTS, MOST_PIVOTS = 6.5, 48, 32_768
 #: Bits of the brief permutation, and those in which a candidate pair may differ.
 BITS, MAX_BITS_APART = 128, 40
-#: Rows of a posting list that are compared with the ones after them; longer lists are compared in this window.
-REACH = 2048
 
 
 def usable(df: DataFrame, id_col: str = "id", vector_col: str = "embedding", dim: int = 96) -> DataFrame:
@@ -100,7 +100,7 @@ def _meet(apart: int):
         return pa.RecordBatch.from_arrays([pa.array(np.minimum(n[i], n[j])), pa.array(np.maximum(n[i], n[j])), pa.array(moved.astype(np.int32))], ["x", "y", "moved"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        yield from neighbours_in_runs(batches, emit, REACH)
+        yield from neighbours_in_runs(batches, emit, sys.maxsize)  # all pairs of a list, however long
 
     return run
 

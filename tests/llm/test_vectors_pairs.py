@@ -72,6 +72,14 @@ def test_runs_across_batches():
             assert len(got) == len(set(got)) and set(got) == {(a, b) for a, b in want if b - a <= reach}
 
 
+def test_long_lists_give_all_pairs():
+    n = 2100
+    batches = [pa.RecordBatch.from_arrays([pa.array(np.zeros(k, np.int64)), pa.array(np.arange(k) + at), pa.array(np.ones(k, np.int16)), pa.array(np.zeros(k, np.int64)), pa.array(np.zeros(k, np.int64))], ["key", "n", "place", "brief", "brief2"]) for at, k in ((0, 1500), (1500, n - 1500))]
+    got = [b.select(["x", "y"]).to_pandas() for b in vectors._meet(0)(iter(batches))]
+    assert sum(map(len, got)) == n * (n - 1) // 2
+    assert any(((g["x"] == 0) & (g["y"] == n - 1)).any() for g in got)
+
+
 def frame(spark, baskets):
     return spark.createDataFrame([(str(i), b) for i, b in enumerate(baskets)], "id string, items array<string>").withColumn("a", F.lit("x")).withColumn("n", F.lit(3))
 
