@@ -1,7 +1,7 @@
 """Text read in a wrong character encoding: found and restored by a table of garbled forms.
 
 The words of the corpus that hold characters beyond ASCII are collected with
-the number of texts they occur in.  Each clean word is written and read again
+the number of different texts they occur in.  Each clean word is written and read again
 through every chain of encodings; the garbled forms make a table that is
 hash-joined with the words of the texts.  A hit counts if the form is rarer
 than the word it comes from, as a real word would not be.
@@ -130,7 +130,8 @@ def _units_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                     ids += [row] * len(found)
                     kinds += [kind] * len(found)
                     names += found
-            yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(ids, pa.int64())), pa.array(kinds, pa.int8()), pa.array(names, pa.string())], ["id", "kind", "unit"])
+            take = pa.array(ids, pa.int64())
+            yield pa.RecordBatch.from_arrays([part.column(0).take(take), part.column(2).take(take), pa.array(kinds, pa.int8()), pa.array(names, pa.string())], ["id", "h", "kind", "unit"])
 
 
 def _forms_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -178,9 +179,12 @@ class Garbled:
         """Null and ASCII texts are never garbled; an id that occurs more than once is judged on all its texts."""
         self.docs = df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).where((F.octet_length("text") > F.char_length("text")) & F.col("id").isNotNull())
         kind = df.schema[id_col].dataType.simpleString()
-        self.occurs = materialize(self.docs.mapInArrow(_units_of, f"id {kind}, kind tinyint, unit string"), "units")
-        vocabulary = materialize(self.occurs.groupBy("kind", "unit").agg(F.count(F.lit(1)).alias("n")), "vocabulary")
-        clean = vocabulary.where(F.col("n") >= CLEAN_TEXTS)
+        self.occurs = materialize(self.docs.withColumn("h", F.xxhash64("text")).mapInArrow(_units_of, f"id {kind}, h bigint, kind tinyint, unit string"), "units")
+        # Of two units the one in more different texts is more frequent, and only then the one in more copies: n holds both numbers.
+        each = self.occurs.groupBy("kind", "unit", "h").agg(F.count(F.lit(1)).alias("copies"))
+        counted = each.groupBy("kind", "unit").agg(F.count(F.lit(1)).alias("different"), F.sum("copies").alias("copies"))
+        vocabulary = materialize(counted.select("kind", "unit", (F.shiftleft("different", 32) + F.col("copies")).alias("n"), "copies"), "vocabulary")
+        clean = vocabulary.where(F.col("copies") >= CLEAN_TEXTS).drop("copies")
         letters = clean.where("kind = 0").select("kind", F.explode(F.array_distinct(F.split("unit", ""))).alias("unit"), "n").where("unit != ''")
         words = clean.unionByName(letters).groupBy("kind", "unit").agg(F.max("n").alias("n"))
         # One word has hundreds of forms: the few words are spread over all tasks, and nothing made of them is broadcast.
@@ -188,7 +192,7 @@ class Garbled:
         forms = words.repartition(tasks, "unit").mapInArrow(_forms_of, "kind tinyint, form string, word string, chain string, texts bigint")
         # Of several words with the same form the most frequent one is meant.
         self.table = forms.groupBy("kind", "form").agg(F.max_by(F.struct("word", "chain", "texts"), F.struct("texts", "word", "chain")).alias("was"), F.count_distinct("word").alias("ways"))
-        pieces = vocabulary.where("kind < 2").repartition(tasks, "unit").mapInArrow(_pieces_of, "kind tinyint, unit string, n bigint, form string")
+        pieces = vocabulary.where("kind < 2").drop("copies").repartition(tasks, "unit").mapInArrow(_pieces_of, "kind tinyint, unit string, n bigint, form string")
         self.hits = materialize(pieces.hint("merge").join(self.table, ["kind", "form"]).where("was.texts > n").select("kind", "unit", "form", "was.word", "was.chain", "ways"), "hits")
 
     def found(self) -> DataFrame:

@@ -209,6 +209,15 @@ def test_garbled_texts_are_restored(corpus):
     assert "Händler" in got[6]
 
 
+def test_copies_of_a_garbled_text_are_found(spark):
+    clean = [(i, f"{CLEAN[0]} {i}") for i in range(2)]
+    copies = [(10 + i, encoding.garble(CLEAN[0], ("cp1252",))) for i in range(5)]
+    df = spark.createDataFrame(clean + copies, "doc_id bigint, text string")
+    garbled = encoding.Garbled(df)
+    assert {r["id"] for r in garbled.found().collect()} == {i for i, _ in copies}
+    assert {r["text"] for r in garbled.restored().collect()} == {CLEAN[0]}
+
+
 def test_nothing_garbled(spark):
     df = spark.createDataFrame([(1, "plain"), (2, None), (3, "schön schön")], "doc_id bigint, text string")
     assert encoding.Garbled(df).found().count() == 0
