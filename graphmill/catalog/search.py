@@ -123,7 +123,7 @@ def similarity_edges(spark, sf):
 
 @query()
 def hashed_embeddings(spark, sf):
-    d = table(spark, sf, "documents").select("doc_id", F.slice(F.split(F.coalesce("text", F.lit("")), r"\s+"), 1, 20).alias("w"))
+    d = table(spark, sf, "documents").select("doc_id", F.split(F.coalesce("text", F.lit("")), r"\s+").alias("w"))
     return d.select("doc_id", vector.hash_embedding("w", 16).alias("embedding"))
 
 

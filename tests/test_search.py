@@ -122,3 +122,12 @@ def test_questions(spark):
     assert questions.parse("nonsense") is None
     assert questions.decompose("Who was Plato and what did Socrates teach?") == ["Who was Plato", "what did Socrates teach"]
     assert questions.rewrite("Big Dog", {"dog": ["hound"]}) == "big dog hound"
+
+
+def test_hashed_embeddings_of_whole_texts(spark, tmp_path):
+    from graphmill.catalog.search import hashed_embeddings
+
+    same = "word " * 20
+    spark.createDataFrame([(1, same + "apple"), (2, same + "river stone")], "doc_id bigint, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r["doc_id"]: r["embedding"] for r in hashed_embeddings(spark, str(tmp_path)).collect()}
+    assert got[1] != got[2]
