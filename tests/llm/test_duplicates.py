@@ -4,6 +4,7 @@ import hashlib
 import random
 import re
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -66,6 +67,36 @@ def test_template_that_is_all_a_pair_shares(spark):
     assert found(spark, docs) == want
 
 
+@pytest.mark.parametrize("n, own", [(600, 31), (1500, 31)])
+def test_every_pair_of_a_template_is_found(spark, n, own):
+    """What any two share is common to all; every pair is just above the threshold."""
+    base = words(70, 4)
+    docs = {f"t{i:04}": " ".join(base + words(own, 2000 + i)) for i in range(n)}
+    some = [shingles(docs[f"t{i:04}"]) for i in (0, n // 2, n - 1)]
+    assert all(0.5 <= len(a & b) / len(a | b) < 0.56 for a in some for b in some if a is not b)
+    assert len(found(spark, docs)) == n * (n - 1) // 2
+
+
+def test_template_below_the_threshold(spark):
+    base = words(60, 4)
+    docs = {f"t{i:04}": " ".join(base + words(70, 2000 + i)) for i in range(dedup.LIMIT + 200)} | {"twin": " ".join(base + words(70, 2000) + ["odd"])}
+    assert found(spark, docs) == {("t0000", "twin")}
+
+
+def test_too_few_signatures_take_the_exact_way(spark, monkeypatch):
+    monkeypatch.setattr(dedup, "SLACK", -1000)
+    dedup.fewest.cache_clear()
+    try:
+        docs = {f"f{f}-{i}": edited(words(80, f), i * 7 + f) for f in range(3) for i in range(4)}
+        n = np.arange(64, 128)
+        assert (dedup.fewest(7)[n] > n).all()
+        sign, row, must = dedup.signatures(np.arange(80), np.array([0, 80]), np.zeros(1 << dedup.COUNT_BITS, np.int64))
+        assert must[0] == 0 and not len(sign)
+    finally:
+        dedup.fewest.cache_clear()
+    assert found(spark, docs) == brute(docs)
+
+
 def test_sets_of_few_elements(spark):
     docs = {"one": "a " * 12, "two": "a " * 11 + "b"} | {f"c{k}{i}": " ".join((words(3, k) + words(i, 50 + k)) * 4) for k in range(60) for i in range(3)}
     assert found(spark, docs) == brute(docs)
@@ -144,19 +175,56 @@ def test_batches_of_the_table(spark):
     assert {r["id"] for r in Q.p5_found(spark, SF).collect()} == verdicts(docs, index)
 
 
-@pytest.mark.parametrize("m", [8, 30, 60, 115, 240, 500])
-def test_signatures_meet_at_the_threshold(m):
-    """Sets of similarity 0.5 share enough signatures, however their elements fall."""
-    import numpy as np
-
+@pytest.mark.parametrize("m", [1, 2, 5, 8, 14, 30, 60, 64, 115, 127, 240, 500, 3000])
+@pytest.mark.parametrize("ratio", [1.0, 1.3, 1.9])
+def test_similar_sets_share_as_many_signatures_as_promised(m, ratio):
+    """At similarity 0.5, whatever the order of elements and the sizes, and with any of the elements common."""
     r = np.random.default_rng(m)
-    poor = 0
-    for _ in range(60):
-        union = r.integers(0, 2**62, size=int(m * 4 / 3) + 2)
-        shared = -(-len(union) // 2)
-        rest = union[shared:]
-        a, b = np.append(union[:shared], rest[::2]), np.append(union[:shared], rest[1::2])
-        sa, _ = dedup.signatures(a, np.array([0, len(a)]))
-        sb, _ = dedup.signatures(b, np.array([0, len(b)]))
-        poor += len(np.intersect1d(sa, sb)) < dedup.LEAST_SHARED
-    assert poor == 0
+    for k in range(30):
+        n = max(m, int(m * ratio))
+        c = -(-(m + n) // 3)  # c / (m + n - c) >= 0.5
+        if c > m:
+            continue
+        union = r.integers(0, 2**62, size=m + n - c)
+        a, b = union[:m], np.append(union[m - c : m], union[m:])
+        counts = np.zeros(1 << dedup.COUNT_BITS, np.int64)
+        np.add.at(counts, r.permutation(union)[: len(union) // 2] >> (64 - dedup.COUNT_BITS), k)
+        sa, _, need_a = dedup.signatures(a, np.array([0, m]), counts)
+        sb, _, need_b = dedup.signatures(b, np.array([0, n]), counts)
+        assert len(sa) == len(set(sa.tolist()))
+        assert len(np.intersect1d(sa, sb)) >= min(need_a[0], need_b[0]) >= 1
+
+
+def as_sets(spark, docs):
+    df = spark.createDataFrame(list(docs.items()), "n bigint, content string")
+    return dedup.shingle_sets(df)
+
+
+def test_stored_history_is_opened_again(spark):
+    texts = {i: edited(words(60, i % 9), i, 0.1) for i in range(45)}
+    first, second, third = ({i: t for i, t in texts.items() if i % 3 == k} for k in range(3))
+    h = dedup.History(spark)
+    h.append(as_sets(spark, first))
+    h.append(as_sets(spark, second))
+    again = dedup.History(spark, h.path)
+    assert again.ranges == h.ranges and (again.counts == h.counts).all()
+    got = {(r["x"], r["y"], r["stored"]) for r in again.check(as_sets(spark, third)).collect()}
+    want = {(int(a), int(b)) for a, b in brute({f"{i:03}": t for i, t in texts.items()})}
+    assert {(x, y) for x, y, s in got if not s} == {p for p in want if set(p) <= set(third)}
+    assert {(x, y) for x, y, s in got if s} == {(x, y) for x in third for y in texts if y not in third and tuple(sorted((x, y))) in want}
+    assert dedup.History(spark).check(as_sets(spark, {})).count() == 0
+    assert dedup.History(spark).check(as_sets(spark, first), within=False).count() == 0
+
+
+def test_work_follows_the_batch(spark):
+    """Twice as much history makes no more rows for the join, as few pivots of the batch are in it."""
+    old = {i: " ".join(words(60, 10_000 + i)) for i in range(400)}
+    batch = {5000 + i: edited(words(60, 10_000 + i), i, 0.1) for i in range(5)}
+    sizes = []
+    for some in ({i: t for i, t in old.items() if i < 200}, old):
+        h = dedup.History(spark)
+        h.append(as_sets(spark, some))
+        keys = dedup.pivot_table(as_sets(spark, batch), h.counts, 0.5)
+        sizes.append(h.admitted(keys).count())
+        assert h.check(as_sets(spark, batch)).count() == 5
+    assert sizes[1] <= 1.1 * sizes[0] < 400
