@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from graphmill.llm.runs import by_key, splitmix
+from graphmill.llm.runs import by_key, pairs_in_runs, splitmix
 from graphmill.operators.bloom import Bloom
 from graphmill.session import exists, materialize, new_path, release
 
@@ -203,61 +203,22 @@ def _sign(counts, threshold: float):
 
 
 def _pairs_of_short_runs(limit: int):
-    """All pairs ``(a, b, need)`` of runs of at most ``limit`` rows, and ``(-1, n, 0)`` for each row of a longer run or a null key.
+    """All pairs ``(a, b, need)`` of runs of at most ``limit`` rows, and ``(-1, n, need)`` for each row of a longer run or a null key; need 0 says null."""
 
-    Of the run that is open at the end of a batch at most ``limit`` + 1 rows are held.
-    """
-
-    def give(a, b):
-        need = np.minimum(a & 7, b & 7) if len(a) else a
-        a, b = a >> 3, b >> 3
-        return pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b), pa.int64()), pa.array(np.maximum(a, b), pa.int64()), pa.array(need.astype(np.int8))], ["a", "b", "need"])
+    def give(a, b, need):
+        return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(need.astype(np.int8))], ["a", "b", "need"])
 
-    def alone(n):
-        return pa.RecordBatch.from_arrays([pa.array(np.full(len(n), -1)), pa.array(n >> 3), pa.array(np.where(n & 7, 1, 0).astype(np.int8))], ["a", "b", "need"])
+    def emit(cols, i, j):
+        a, b = cols[1][i], cols[1][j]
+        need = np.minimum(a & 7, b & 7)
+        return give(np.minimum(a, b) >> 3, np.maximum(a, b) >> 3, need)
 
-    def short(n: np.ndarray, key: np.ndarray) -> Iterator[pa.RecordBatch]:
-        at = np.arange(max(len(n) - 1, 0))
-        for step in range(1, limit):
-            at = at[: np.searchsorted(at, len(n) - step)]
-            at = at[key[at] == key[at + step]]
-            if not len(at):
-                return
-            yield give(n[at], n[at + step])
+    def alone(cols):
+        n = cols[1]
+        return give(np.full(len(n), -1), n >> 3, np.minimum(n & 7, 1))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held_key, held_n = np.zeros(0, np.int64), np.zeros(0, np.int64)
-        over = None  # the key of an open run already known to be long
-        for batch in batches:
-            if batch.column(0).null_count:
-                yield alone(batch.filter(batch.column(0).is_null()).column(1).to_numpy())
-                batch = batch.filter(batch.column(0).is_valid())
-            key, n = (c.to_numpy() for c in batch.columns)
-            if over is not None:
-                same = int(np.searchsorted(key != over, True)) if len(key) else 0
-                if same:
-                    yield alone(n[:same])
-                key, n = key[same:], n[same:]
-                if not len(key):
-                    continue
-                over = None
-            key, n = np.concatenate((held_key, key)), np.concatenate((held_n, n))
-            if not len(key):
-                continue
-            start = np.flatnonzero(np.append(True, key[1:] != key[:-1]))
-            length = np.diff(np.append(start, len(key)))
-            open_ = start[-1]
-            long = np.repeat(length > limit, length)
-            if long.any():
-                yield alone(n[long])
-            done = ~long
-            done[open_:] = False
-            yield from short(n[done], key[done])
-            if length[-1] > limit:
-                over, held_key, held_n = key[-1], held_key[:0], held_n[:0]
-            else:
-                held_key, held_n = key[open_:], n[open_:]
-        yield from short(held_n, held_key)
+        yield from pairs_in_runs(batches, emit, alone, limit)
 
     return run
 
@@ -373,8 +334,7 @@ def profiled(sets: DataFrame) -> DataFrame:
 class History:
     """The stored table of pivot distances of everything accepted: batches are checked against it and appended.
 
-    ``pivots`` holds the distances to fine pivots, in ranges of the pivot number
-    sorted by it; ``sets`` the distances to the empty and the coarse pivots and
+    ``pivots`` holds the distances to fine pivots, in ranges of the pivot number; ``sets`` the distances to the empty and the coarse pivots and
     the set itself.  Each append writes new files and rewrites none.  The order
     of pivots is that of the first batch and kept with the table, so what is
     stored stays right; it is opened again by its path.
@@ -411,7 +371,7 @@ class History:
         stored = self.spark.read.schema(SETS).parquet(at)
         self._start(stored)
         rows = pivot_table(stored, self.counts, self.threshold).withColumn("range", self.range_of())
-        rows.repartition(self.ranges, "range").sortWithinPartitions("range", "pivot").write.option("compression", "zstd").partitionBy("range").parquet(f"{self.path}/pivots/batch={batch}")
+        rows.repartition(self.ranges, "range").write.option("compression", "lz4").partitionBy("range").parquet(f"{self.path}/pivots/batch={batch}")
 
     def _stored(self, kind: str, schema: str) -> DataFrame | None:
         if not exists(self.spark, f"{self.path}/{kind}"):

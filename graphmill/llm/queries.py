@@ -51,8 +51,9 @@ def p3_updated_scores(spark: SparkSession, sf: str) -> DataFrame:
     # A chunk id delivered under two collections is all in the change.
     some = chunks.where(later).select("id").distinct()
     counts.apply(after=pairs.baskets(chunks.join(some, "id", "left_anti"), "id", "entities"))
-    counts.apply(after=pairs.baskets(chunks.join(some, "id", "left_semi"), "id", "entities"))
-    out = counts.scores(min_count=4)
+    first = materialize(counts.scores(), "scores")
+    changed = counts.apply(after=pairs.baskets(chunks.join(some, "id", "left_semi"), "id", "entities"))
+    out = counts.rescored(first, changed).where("n_ab >= 4")
     return out.select(F.col("a").alias("entity_a"), F.col("b").alias("entity_b"), "n_ab", "n_a", "n_b", F.round("lift", 6).alias("lift"))
 
 

@@ -21,41 +21,66 @@ def _columns(batch: pa.RecordBatch) -> list[np.ndarray]:
     return [c.to_numpy(zero_copy_only=False) for c in batch.columns]
 
 
-def neighbours_in_runs(
+def pairs_in_runs(
     batches: Iterator[pa.RecordBatch],
     emit: Callable[[list[np.ndarray], np.ndarray, np.ndarray], pa.RecordBatch | None],
-    reach: int,
+    alone: Callable[[list[np.ndarray]], pa.RecordBatch],
+    limit: int,
 ) -> Iterator[pa.RecordBatch]:
-    """Call ``emit(columns, i, j)`` for row pairs i < j of one key that lie at most ``reach`` rows apart.
+    """Call ``emit(columns, i, j)`` for all row pairs i < j of one key, and ``alone(columns)`` for rows of a longer run than ``limit``.
 
-    The first column is the key; rows of a key follow each other.  A run of at
-    most ``reach`` + 1 rows gives all its pairs.  Between batches only the last
-    ``reach`` rows of the open run are held, whatever its length.
+    The first column is the key; rows of a key follow each other; null keys are
+    runs too long.  Of the run that is open at the end of a batch at most
+    ``limit`` + 1 rows are held.
     """
-    held: list[np.ndarray] | None = None
-    for batch in batches:
-        if not batch.num_rows:
-            continue
-        cols = _columns(batch)
-        old = 0
-        if held is not None and len(held[0]):
-            old = len(held[0])
-            cols = [np.concatenate(x) for x in zip(held, cols)]
+
+    def short(cols: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
         key = cols[0]
-        n = len(key)
-        at = np.arange(n - 1)
-        for step in range(1, min(reach, n - 1) + 1):
-            at = at[: np.searchsorted(at, n - step)]
+        at = np.arange(max(len(key) - 1, 0))
+        for step in range(1, min(limit, len(key))):
+            at = at[: np.searchsorted(at, len(key) - step)]
             at = at[key[at] == key[at + step]]
             if not len(at):
-                break
-            new = at[at + step >= old]  # pairs inside the held rows were given before
-            for k in range(0, len(new), 1 << 18):
-                out = emit(cols, new[k : k + (1 << 18)], new[k : k + (1 << 18)] + step)
+                return
+            for k in range(0, len(at), 1 << 18):
+                some = at[k : k + (1 << 18)]
+                out = emit(cols, some, some + step)
                 if out is not None and out.num_rows:
                     yield out
-        first = max(np.searchsorted(key == key[-1], True), n - reach) if key[0] != key[-1] else max(0, n - reach)
-        held = [c[first:] for c in cols]
+
+    held: list[np.ndarray] = []
+    over = None  # the key of an open run already known to be long
+    for batch in batches:
+        if batch.column(0).null_count:
+            yield alone(_columns(batch.filter(batch.column(0).is_null())))
+            batch = batch.filter(batch.column(0).is_valid())
+        cols = _columns(batch)
+        if over is not None:
+            same = int(np.searchsorted(cols[0] != over, True)) if len(cols[0]) else 0
+            if same:
+                yield alone([c[:same] for c in cols])
+            cols = [c[same:] for c in cols]
+            if not len(cols[0]):
+                continue
+            over = None
+        if held:
+            cols = [np.concatenate(x) for x in zip(held, cols)]
+        key = cols[0]
+        if not len(key):
+            continue
+        start = np.flatnonzero(np.append(True, key[1:] != key[:-1]))
+        length = np.diff(np.append(start, len(key)))
+        open_ = start[-1]
+        long = np.repeat(length > limit, length)
+        if long.any():
+            yield alone([c[long] for c in cols])
+        done = ~long
+        done[open_:] = False
+        yield from short([c[done] for c in cols])
+        over = key[-1] if length[-1] > limit else None
+        held = [c[open_:] for c in cols] if over is None else []
+    if held:
+        yield from short(held)
 
 
 def by_key(df: DataFrame, key: str, *more: str) -> DataFrame:

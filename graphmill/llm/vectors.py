@@ -8,15 +8,17 @@ nearer half?) are close; they are ranked by footrule distance of the ordered
 pivots, cut at a distance and not at a number, and reranked by exact cosine.
 
 The number of pivots grows with the square root of the number of vectors, so
-the expected length of a posting list of evenly spread vectors is constant and
-the work linear.  Lists of crowded vectors are longer and give all their pairs.
+the expected length of a posting list of evenly spread vectors is constant.
+Vectors in a longer list are a crowd, or beyond what ``MOST_PIVOTS`` can tell
+apart; they are indexed again among themselves, with pivots from among them,
+until lists are short.
 """
 
 from __future__ import annotations
 
 import math
-import sys
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -24,15 +26,19 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from graphmill.llm.runs import by_key, neighbours_in_runs
+from graphmill.llm.runs import by_key, pairs_in_runs
 from graphmill.session import materialize
 
 #: Nearest pivots of a vector that are posted, two by two.
 PREFIX = 9
 #: Pivots a square root of the number of vectors; the bounds prove the size of what is broadcast.
 PIVOTS_PER_ROOT, FEWEST_PIVOTS, MOST_PIVOTS = 6.5, 48, 32_768
+#: Vectors of a longer list are indexed again, in so many levels at most; lists of the last level give all their pairs.
+LIMIT, LEVELS = 2048, 4
 #: Bits of the brief permutation, and those in which a candidate pair may differ.
-BITS, MAX_BITS_APART = 128, 40
+BITS, MAX_BITS_APART = 128, 43
+#: Footrule distance of the ordered nearest pivots beyond which a pair is no candidate.
+MAX_FOOTRULE = 80.0
 
 
 def usable(df: DataFrame, id_col: str = "id", vector_col: str = "embedding", dim: int = 96) -> DataFrame:
@@ -89,22 +95,52 @@ def _post(pivots, prefix: int):
     return run
 
 
-def _meet(apart: int):
+def _meet(apart: int, limit: int):
+    """``(x, y, moved)`` of the pairs of a list whose brief permutations are close, and ``(-1, n, 0)`` of those in a longer list."""
+
+    def give(x, y, moved):
+        return pa.RecordBatch.from_arrays([pa.array(x, pa.int64()), pa.array(y, pa.int64()), pa.array(moved.astype(np.int32))], ["x", "y", "moved"])
+
     def emit(cols: list[np.ndarray], i: np.ndarray, j: np.ndarray) -> pa.RecordBatch | None:
         _, n, place, *brief = cols
         close = sum(np.bitwise_count((b[i] ^ b[j]).view(np.uint64)) for b in brief) <= apart
         i, j = i[close], j[close]
-        if not len(i):
-            return None
         moved = np.abs(place[i] // 16 - place[j] // 16) + np.abs(place[i] % 16 - place[j] % 16)
-        return pa.RecordBatch.from_arrays([pa.array(np.minimum(n[i], n[j])), pa.array(np.maximum(n[i], n[j])), pa.array(moved.astype(np.int32))], ["x", "y", "moved"])
+        return give(np.minimum(n[i], n[j]), np.maximum(n[i], n[j]), moved)
+
+    def alone(cols: list[np.ndarray]) -> pa.RecordBatch:
+        n = np.unique(cols[1])
+        return give(np.full(len(n), -1), n, np.zeros(len(n)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        yield from neighbours_in_runs(batches, emit, sys.maxsize)  # all pairs of a list, however long
+        yield from pairs_in_runs(batches, emit, alone, limit)
 
     return run
 
 
+def _candidates(nodes: DataFrame, size: int, max_bits_apart: int, max_footrule: float, levels: int) -> list[DataFrame]:
+    """Pairs ``(x, y)`` of the vectors ``(n, h, v)`` by the index of each level; a pair may be in several levels."""
+    wanted = min(MOST_PIVOTS, size, max(FEWEST_PIVOTS, math.ceil(PIVOTS_PER_ROOT * math.sqrt(size))))
+    pivots = _pivots(nodes, wanted)  # at most MOST_PIVOTS * dim floats
+    prefix = min(PREFIX, len(pivots))
+    if prefix < 2:
+        return []
+    shared = nodes.sparkSession.sparkContext.broadcast(pivots)
+    posted = nodes.select("n", "v").mapInArrow(_post(shared, prefix), "key bigint, n bigint, place smallint, brief bigint, brief2 bigint")
+    met = by_key(posted, "key", "n").mapInArrow(_meet(max_bits_apart, LIMIT if levels > 1 else 1 << 62), "x bigint, y bigint, moved int")
+    # A pair of s common pivots meets s(s-1)/2 times and its moves are counted s-1 times each.
+    each = met.groupBy("x", "y").agg(F.count(F.lit(1)).alias("meets"), F.sum("moved").alias("moves"))
+    common = (1 + F.sqrt(1 + 8 * F.col("meets"))) / 2
+    footrule = F.col("moves") / F.greatest(common - 1, F.lit(1)) + (prefix - common) * (prefix + 1)
+    ranked = materialize(each.where((F.col("x") < 0) | (footrule <= max_footrule)).select("x", "y"), "ranked")
+    crowd = ranked.where("x < 0").select(F.col("y").alias("n"))
+    many = crowd.count() if levels > 1 else 0
+    out = [ranked.where("x >= 0")]
+    if many:
+        out += _candidates(materialize(nodes.join(crowd, "n", "left_semi"), "crowd"), many, max_bits_apart, max_footrule, levels - 1)
+    return out
+
+
 def _cosines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for at in range(0, batch.num_rows, 4096):
@@ -115,7 +151,7 @@ def _cosines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(cos)], ["x", "y", "cosine"])
 
 
-def nearest(df: DataFrame, k: int = 5, id_col: str = "id", vector_col: str = "embedding", dim: int = 96, least: float = -1.0, max_bits_apart: int = MAX_BITS_APART, max_footrule: int | None = None) -> DataFrame:
+def nearest(df: DataFrame, k: int = 5, id_col: str = "id", vector_col: str = "embedding", dim: int = 96, least: float = -1.0, max_bits_apart: int = MAX_BITS_APART, max_footrule: float = MAX_FOOTRULE) -> DataFrame:
     """``(id, neighbour, cosine, rank)``: of every usable vector the ``k`` other ids of highest cosine, at least ``least``.
 
     Ties go to the smaller id.  Rows with an unusable vector neither ask nor
@@ -125,29 +161,18 @@ def nearest(df: DataFrame, k: int = 5, id_col: str = "id", vector_col: str = "em
     neighbours, which is the accuracy given up.
     """
     spark = df.sparkSession
-    rows = usable(df, id_col, vector_col, dim).withColumn("h", F.xxhash64("v"))
+    rows = usable(df, id_col, vector_col, dim).withColumn("h", F.struct(F.xxhash64("v").alias("p"), F.xxhash64(F.lit(1), "v", F.element_at("v", -1)).alias("q")))
     members = rows.groupBy("id").agg(F.min("h").alias("h"))
     distinct = rows.groupBy("h").agg(F.first("v").alias("v"))
     nodes = materialize(distinct.withColumn("n", F.monotonically_increasing_id()), "vectors")
     size = nodes.count()
     if not size:
         return spark.createDataFrame([], "id string, neighbour string, cosine double, rank int")
-    wanted = min(MOST_PIVOTS, size, max(FEWEST_PIVOTS, math.ceil(PIVOTS_PER_ROOT * math.sqrt(size))))
-    pivots = _pivots(nodes, wanted)  # at most MOST_PIVOTS * dim floats
-    prefix = min(PREFIX, len(pivots))
-    shared = spark.sparkContext.broadcast(pivots)
-
-    if prefix >= 2:
-        posted = nodes.select("n", "v").mapInArrow(_post(shared, prefix), "key bigint, n bigint, place smallint, brief bigint, brief2 bigint")
-        met = by_key(posted, "key", "n").mapInArrow(_meet(max_bits_apart), "x bigint, y bigint, moved int")
-        # A pair of s common pivots meets s(s-1)/2 times and its moves are counted s-1 times each.
-        pairs = met.groupBy("x", "y").agg(F.count(F.lit(1)).alias("meets"), F.sum("moved").alias("moves"))
-        common = (1 + F.sqrt(1 + 8 * F.col("meets"))) / 2
-        footrule = F.col("moves") / F.greatest(common - 1, F.lit(1)) + (prefix - common) * (prefix + 1)
-        cut = prefix * (prefix + 1) if max_footrule is None else max_footrule
-        pairs = pairs.where(footrule <= cut).select("x", "y")
-    else:
+    levels = _candidates(nodes, size, max_bits_apart, max_footrule, LEVELS)
+    if not levels:
         pairs = nodes.select(F.col("n").alias("x"), F.col("n").alias("y")).where(F.lit(False))
+    else:
+        pairs = levels[0] if len(levels) == 1 else reduce(DataFrame.unionByName, levels).distinct()
     one = pairs.join(nodes.select(F.col("n").alias("x"), F.col("v").alias("vx")), "x")
     two = one.join(nodes.select(F.col("n").alias("y"), F.col("v").alias("vy")), "y").select("x", "y", "vx", "vy")
     scored = materialize(two.mapInArrow(_cosines, "x bigint, y bigint, cosine double").where(F.col("cosine") >= least), "cosines")

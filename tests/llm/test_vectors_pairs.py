@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from graphmill.llm import pairs, vectors
 from graphmill.llm import queries as Q
-from graphmill.llm.runs import neighbours_in_runs
+from graphmill.llm.runs import pairs_in_runs
 from graphmill.session import table
 
 SF = "/root/testdata/sf0.01"
@@ -62,22 +62,39 @@ def test_few_vectors(spark, n):
 
 def test_runs_across_batches():
     key = np.repeat([1, 2, 3, 4], [3, 7, 1, 5])
-    cols = [pa.array(key), pa.array(np.arange(len(key)))]
+    cols = [pa.array([*key, None]), pa.array(np.arange(17))]
     emit = lambda c, i, j: pa.RecordBatch.from_arrays([pa.array(c[1][i]), pa.array(c[1][j])], ["a", "b"])
-    want = {(a, b) for a in range(16) for b in range(a + 1, 16) if key[a] == key[b]}
-    for size in (1, 2, 5, 16):
-        batches = [pa.RecordBatch.from_arrays([c[k : k + size] for c in cols], ["k", "n"]) for k in range(0, 16, size)]
-        for reach in (10, 2):
-            got = [t for b in neighbours_in_runs(iter(batches), emit, reach) for t in zip(*(c.to_pylist() for c in b.columns))]
-            assert len(got) == len(set(got)) and set(got) == {(a, b) for a, b in want if b - a <= reach}
-
-
-def test_long_lists_give_all_pairs():
-    n = 2100
-    batches = [pa.RecordBatch.from_arrays([pa.array(np.zeros(k, np.int64)), pa.array(np.arange(k) + at), pa.array(np.ones(k, np.int16)), pa.array(np.zeros(k, np.int64)), pa.array(np.zeros(k, np.int64))], ["key", "n", "place", "brief", "brief2"]) for at, k in ((0, 1500), (1500, n - 1500))]
-    got = [b.select(["x", "y"]).to_pandas() for b in vectors._meet(0)(iter(batches))]
-    assert sum(map(len, got)) == n * (n - 1) // 2
-    assert any(((g["x"] == 0) & (g["y"] == n - 1)).any() for g in got)
+    alone = lambda c: pa.RecordBatch.from_arrays([pa.array(np.full(len(c[1]), -1)), pa.array(c[1])], ["a", "b"])
+    for limit in (10, 5, 2):
+        length = {k: int((key == k).sum()) for k in key}
+        want = {(a, b) for a in range(16) for b in range(a + 1, 16) if key[a] == key[b] and length[key[a]] <= limit} | {(-1, a) for a in range(16) if length[key[a]] > limit} | {(-1, 16)}
+        for size in (1, 2, 5, 17):
+            batches = [pa.RecordBatch.from_arrays([c[k : k + size] for c in cols], ["k", "n"]) for k in range(0, 17, size)]
+            got = [t for b in pairs_in_runs(iter(batches), emit, alone, limit) for t in zip(*(c.to_pylist() for c in b.columns))]
+            assert len(got) == len(set(got)) and set(got) == want
+
+
+def test_a_crowd_is_indexed_again(spark, monkeypatch):
+    """Vectors of one crowd are in lists beyond the limit until pivots from among them tell them apart."""
+    monkeypatch.setattr(vectors, "LIMIT", 40)
+    r = np.random.default_rng(8)
+    centre = r.normal(size=16)
+    items = {f"c{i:04}": centre + r.normal(size=16) * 0.2 for i in range(600)} | {f"o{i:04}": r.normal(size=16) for i in range(600)}
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in items.items()], "id string, embedding array<float>")
+    got = {(x["id"], x["neighbour"]) for x in vectors.nearest(df, 5, dim=16, least=0.8, max_bits_apart=128).collect()}
+    want = exact(items, 5, 0.8)
+    assert len(got & want) >= 0.9 * len(want)
+
+
+def test_footrule_leaves_candidates_out(spark):
+    df = table(spark, SF, "text_chunks")
+    nodes = vectors.usable(df).dropDuplicates(["v"]).withColumn("h", F.xxhash64("v")).withColumn("n", F.monotonically_increasing_id())
+    from graphmill.session import materialize
+
+    nodes = materialize(nodes, "nodes")
+    size = nodes.count()
+    some = [sum(c.count() for c in vectors._candidates(nodes, size, vectors.MAX_BITS_APART, cut, 1)) for cut in (vectors.MAX_FOOTRULE, 1000.0)]
+    assert 0 < some[0] < some[1]
 
 
 def frame(spark, baskets):
@@ -109,6 +126,41 @@ def test_pair_table_follows_changes(spark):
     assert {(r["a"], r["b"]) for r in table_.scores(items=some).collect()} == {p for p in plain(first[10:] + came) if {"3", "B"} & set(p)}
 
 
+def test_pair_table_is_opened_again(spark):
+    """A new object on the path knows the counts, merges a change, rewrites the buckets it touches and drops what it replaced."""
+    r = np.random.default_rng(2)
+    first = [[str(x) for x in r.integers(0, 40, 5)] for _ in range(200)]
+    t = pairs.PairTable(spark, buckets=64)
+    t.apply(after=pairs.baskets(frame(spark, first), "id", "items"))
+    before = t.scores().toPandas()
+    again = pairs.PairTable(spark, t.path)
+    assert again.buckets == 64 and counts(again) == plain(first)
+    kept = dict(again.at["pairs"])
+    changed = again.apply(after=pairs.baskets(frame(spark, [["1", "2"], ["new", "2"]]), "id", "items"), before=pairs.baskets(frame(spark, first[:1]), "id", "items"))
+    want = plain(first[1:] + [["1", "2"], ["new", "2"]])
+    assert counts(again) == want
+    assert sum(kept[k] == p for k, p in again.at["pairs"].items() if k in kept) >= 40
+    assert {x["a"] for x in changed.collect()} == {"1", "2", "new", *first[0]}
+    up = again.rescored(spark.createDataFrame(before), changed)
+    assert {(x["a"], x["b"]): (x["n_ab"], x["n_a"], x["n_b"], x["n"]) for x in up.collect()} == want
+    third = pairs.PairTable(spark, t.path)
+    third.apply(after=pairs.baskets(frame(spark, [["x", "y"]]), "id", "items"))
+    assert counts(pairs.PairTable(spark, t.path)) == plain(first[1:] + [["1", "2"], ["new", "2"], ["x", "y"]])
+    folders = set(third._list(f"{t.path}/pairs/v1"))
+    assert not {p for k, p in kept.items() if k not in third.at["pairs"] or third.at["pairs"][k] != p} & {f"pairs/v1/{f}" for f in folders}
+
+
+def test_buckets_grow_with_the_table(spark, monkeypatch):
+    monkeypatch.setattr(pairs, "ROWS_A_BUCKET", 10)
+    monkeypatch.setattr(pairs, "FEWEST_BUCKETS", 1)
+    make = lambda k, n: [[f"i{k + j}", f"i{k + j + 1}", f"i{k + j + 2}"] for j in range(n)]
+    t = pairs.PairTable(spark)
+    t.apply(after=pairs.baskets(frame(spark, make(0, 5)), "id", "items"))
+    assert t.buckets == 2
+    t.apply(after=pairs.baskets(frame(spark, make(5, 60)), "id", "items"))
+    assert t.buckets == 20 and counts(t) == plain(make(0, 65))
+
+
 def test_large_basket_and_empty(spark):
     big = [[f"i{k:04}" for k in range(pairs.BLOCK * 2 + 5)], ["i0000", "i0300"]]
     t = pairs.PairTable(spark)
