@@ -4,7 +4,8 @@ The words of the corpus that hold characters beyond ASCII are collected with
 the number of different texts they occur in.  Each clean word is written and read again
 through every chain of encodings; the garbled forms make a table that is
 hash-joined with the words of the texts.  A hit counts if the form is rarer
-than the word it comes from, as a real word would not be.
+than the word it comes from, as a real word would not be; a longer form of
+letters also if it is as rare.  No word that could count is left out.
 """
 
 from __future__ import annotations
@@ -26,7 +27,8 @@ CYRILLIC = ("cp1251", "koi8-r", "cp866", "iso8859-5", "mac_cyrillic")
 # Encodings of wide scripts with two bytes a character, and those they are then read in.
 WIDE_WRITTEN = ("shift_jis", "euc_jp", "gbk", "big5", "euc_kr")
 WIDE_READ = ("cp1252", "latin-1", "mac_roman", "cp437", "cp1251")
-#: Encodings through which UTF-8 is also read twice, and one of them three times.
+#: Encodings through which UTF-8 of runs and wide characters is also read twice, and the first two three times.
+#: Single letters of alphabets go through all pairs; what a run becomes is made of what its letters become.
 OFTEN = ("cp1252", "latin-1", "cp1250", "cp1251", "cp437", "mac_roman")
 
 LOST = "�"
@@ -35,9 +37,9 @@ _TOKEN = re.compile(r"(?<![A-Za-z])[A-Za-z]*+[^\x00-\x7f]+(?:[A-Za-z]++[^\x00-\x
 _UNIT = re.compile(rf"[{WIDE}]|[^\x00-\x7f{WIDE}]+")
 _WIDE = re.compile(rf"[{WIDE}]")
 _WIDE_RUN = re.compile(rf"[{WIDE}]{{2,}}")
-#: Least number of texts that a clean word occurs in, least length of words swapped between 8-bit
-#: encodings, and the longest garbled form of one character.
-CLEAN_TEXTS, LEAST_LETTERS, LONGEST_CHARACTER = 2, 4, 9
+#: Least copies of a word that is more frequent than some form of it, as a form met has one at least; least length
+#: of words swapped between 8-bit encodings; the longest form of one character read twice (three bytes, each three).
+LEAST_COPIES, LEAST_LETTERS, LONGEST_CHARACTER = 2, 3, 9
 
 
 @cache
@@ -51,10 +53,10 @@ def read_as(data: bytes, encoding: str) -> str:
     return "".join([table[b] for b in data])
 
 
-def chains() -> list[tuple[str, ...]]:
+def chains(twice_in: tuple[str, ...] = OFTEN) -> list[tuple[str, ...]]:
     """UTF-8 read as each encoding, once, twice or three times; named by the encodings read in."""
     once = [(a,) for a in (*LATIN, *CYRILLIC)]
-    twice = [(a, b) for a in OFTEN for b in OFTEN]
+    twice = [(a, b) for a in twice_in for b in twice_in]
     return once + twice + [(a, a, a) for a in OFTEN[:2]]
 
 
@@ -135,12 +137,12 @@ def _units_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _forms_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    every = chains()
+    often, every = chains(), chains((*LATIN, *CYRILLIC))
     for batch in batches:
         out: list[tuple] = []
         for kind, unit, texts in zip(*(c.to_pylist() for c in batch.columns)):
             if kind == 0:
-                for chain in every:
+                for chain in every if len(unit) == 1 and not _WIDE.match(unit) else often:
                     form = garble(unit, chain)
                     # A single letter read as Cyrillic is two letters that may begin a real word.
                     if form != unit and (len(unit) > 1 or chain[-1] not in CYRILLIC or len(form) > 2):
@@ -184,8 +186,8 @@ class Garbled:
         each = self.occurs.groupBy("kind", "unit", "h").agg(F.count(F.lit(1)).alias("copies"))
         counted = each.groupBy("kind", "unit").agg(F.count(F.lit(1)).alias("different"), F.sum("copies").alias("copies"))
         vocabulary = materialize(counted.select("kind", "unit", (F.shiftleft("different", 32) + F.col("copies")).alias("n"), "copies"), "vocabulary")
-        clean = vocabulary.where(F.col("copies") >= CLEAN_TEXTS).drop("copies")
-        letters = clean.where("kind = 0").select("kind", F.explode(F.array_distinct(F.split("unit", ""))).alias("unit"), "n").where("unit != ''")
+        clean = vocabulary.where(F.col("copies") >= LEAST_COPIES).drop("copies")
+        letters = vocabulary.where("kind = 0").select("kind", F.explode(F.array_distinct(F.split("unit", ""))).alias("unit"), "n").where("unit != ''")
         words = clean.unionByName(letters).groupBy("kind", "unit").agg(F.max("n").alias("n"))
         # One word has hundreds of forms: the few words are spread over all tasks, and nothing made of them is broadcast.
         tasks = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
@@ -193,7 +195,9 @@ class Garbled:
         # Of several words with the same form the most frequent one is meant.
         self.table = forms.groupBy("kind", "form").agg(F.max_by(F.struct("word", "chain", "texts"), F.struct("texts", "word", "chain")).alias("was"), F.count_distinct("word").alias("ways"))
         pieces = vocabulary.where("kind < 2").drop("copies").repartition(tasks, "unit").mapInArrow(_pieces_of, "kind tinyint, unit string, n bigint, form string")
-        self.hits = materialize(pieces.hint("merge").join(self.table, ["kind", "form"]).where("was.texts > n").select("kind", "unit", "form", "was.word", "was.chain", "ways"), "hits")
+        # Read as UTF-8 wrongly a word grows, so a longer form as frequent as its word is the form of it, not the reverse.
+        further = (F.col("was.texts") > F.col("n")) | (F.col("kind") == 0) & (F.col("was.texts") == F.col("n")) & (F.length("form") > F.length("was.word"))
+        self.hits = materialize(pieces.hint("merge").join(self.table, ["kind", "form"]).where(further).select("kind", "unit", "form", "was.word", "was.chain", "ways"), "hits")
 
     def found(self) -> DataFrame:
         """``(id)`` of every text that holds a garbled unit, each once."""

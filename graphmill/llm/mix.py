@@ -16,7 +16,7 @@ def source_key(col: str):
 
 
 def sized(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", path: str = VOCABULARY) -> DataFrame:
-    """``(id, source, n_tokens, rank)`` of every document with tokens and a source, as a stored table.
+    """``(id, source, n_tokens, rank)`` of every document with tokens and a source.
 
     ``rank`` numbers the documents of a source from 1 in order of size.  It is
     found without one task per source: rows are range-partitioned by source and
@@ -31,8 +31,7 @@ def sized(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     blocks = ranged.groupBy("source", "part").agg(F.count(F.lit(1)).alias("rows"))
     before = blocks.select("source", "part", F.coalesce(F.sum("rows").over(W.partitionBy("source").orderBy("part").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("before"))
     inside = W.partitionBy("part", "source").orderBy("n_tokens", "id")
-    ranked = ranged.withColumn("r", F.row_number().over(inside)).join(before, ["source", "part"]).select("id", "source", "n_tokens", (F.col("before") + F.col("r")).alias("rank"))
-    return materialize(ranked, "ranked")
+    return ranged.withColumn("r", F.row_number().over(inside)).join(before, ["source", "part"]).select("id", "source", "n_tokens", (F.col("before") + F.col("r")).alias("rank"))
 
 
 def rates(docs: DataFrame, targets: DataFrame, total_tokens: float | None = None) -> DataFrame:
@@ -55,29 +54,20 @@ def rates(docs: DataFrame, targets: DataFrame, total_tokens: float | None = None
     return step.select("mix", "source", "target_share", "max_repeats", "available", rate.alias("rate"))
 
 
-#: Random offsets of which the one that comes nearest to the wanted tokens is taken.
-TRIES = 32
-
-
-def draw(docs: DataFrame, rate: DataFrame, seed: int = 42, tries: int = TRIES) -> DataFrame:
+def draw(docs: DataFrame, rate: DataFrame, seed: int = 42) -> DataFrame:
     """``(mix, source, doc_id, n_tokens, copies)``: one copy for every integer that the prefix sum crosses.
 
     Within a source all documents have the same expected copies, so the prefix
-    sum is rank * rate.  One random offset a mix and source is added: of
-    ``tries`` offsets from the seed the one whose documents hold a number of
-    tokens nearest to the wanted one, so that few or long documents do not
-    upset the shares.  All offsets are tried in one aggregation.
+    sum is rank * rate.  One random offset a mix and source, from the seed, is
+    added; each document is drawn with the probability its rate says.  As
+    documents are in order of size, the tokens drawn differ from the wanted
+    ones by no more than the longest document has.
     """
-    unit = float(1 << 30)
-    offset = lambda k: F.pmod(F.xxhash64(F.lit(seed), F.lit(k), "mix", "source"), F.lit(1 << 30)) / F.lit(unit)
-    copies = lambda u: F.floor(F.col("rank") * F.col("rate") + u) - F.floor((F.col("rank") - 1) * F.col("rate") + u)
-    used = rate.where("rate > 0").withColumn("offsets", F.array(*[offset(k) for k in range(tries)]))
-    both = docs.join(F.broadcast(used), "source")  # as many rows as mix_targets
-    sums = both.groupBy("mix", "source").agg(*[F.sum(copies(F.col("offsets")[k]) * F.col("n_tokens")).alias(f"s{k}") for k in range(tries)])
-    wanted = sums.join(used, ["mix", "source"]).withColumn("wanted", F.col("rate") * F.col("available"))
-    best = F.array_min(F.array(*[F.struct(F.abs(F.col(f"s{k}") - F.col("wanted")).alias("off"), F.lit(k).alias("k"), F.col("offsets")[k].alias("u")) for k in range(tries)]))["u"]
-    chosen = wanted.select("mix", "source", "rate", "max_repeats", best.alias("u"))
-    drawn = docs.join(F.broadcast(chosen), "source").withColumn("copies", copies(F.col("u")))
+    unit = 1 << 30
+    u = F.pmod(F.xxhash64(F.lit(seed), "mix", "source"), F.lit(unit)) / F.lit(float(unit))
+    used = rate.where("rate > 0").select("mix", "source", "rate", "max_repeats", u.alias("u"))
+    crossed = F.floor(F.col("rank") * F.col("rate") + F.col("u")) - F.floor((F.col("rank") - 1) * F.col("rate") + F.col("u"))
+    drawn = docs.join(F.broadcast(used), "source").withColumn("copies", crossed)  # as many rows as mix_targets
     return drawn.select("mix", "source", F.col("id").alias("doc_id"), "n_tokens", F.least("copies", "max_repeats").cast("int").alias("copies")).where("copies > 0")
 
 

@@ -53,8 +53,10 @@ Timothy: Tim. Valentina: Val. Victoria: Vicky, Vic, Tori. Vincent: Vince. Walter
 Winifred: Winnie. Zachary: Zack, Zach.
 """
 
-#: A token met with more other tokens than this is common.
-COMMON = 12
+#: A token met with more other tokens than this, and than this share of all distinct sets of tokens, is common.
+#: Given names and words of institutions are met with a share of the names that does not fall as the
+#: table grows (2 in 1,000 and more here), family names and made-up words with few, whatever its size.
+COMMON, COMMON_SHARE = 12, 1 / 2000
 #: A component with more spellings than this is given by its accepted pairs, not by all its pairs.
 ALL_PAIRS = 100
 FULL, WEAK = 1, 2
@@ -151,9 +153,9 @@ def abbreviates(short: str, long: str) -> bool:
 class Nicknames:
     """Short forms of given names: the same full name, or a full name and its short form."""
 
-    def __init__(self, rows: list[tuple[str, str]]) -> None:
+    def __init__(self, rows: list[tuple[str, str]], more: str = SHORT_FORMS) -> None:
         self.full: dict[str, set[str]] = {}
-        general = [(g, x) for g, forms in re.findall(r"(\w+): ([\w, ]+)\.", SHORT_FORMS) for x in forms.split(", ")]
+        general = [(g, x) for g, forms in re.findall(r"(\w+): ([\w, ]+)\.", more) for x in forms.split(", ")]
         for given, short in [*rows, *general]:
             if given and short:
                 g, s = fold(given.strip()), fold(short.strip())
@@ -276,18 +278,19 @@ def _spellings(token: str) -> set[str]:
     return {token} | {token[:i] + token[i + 1 :] for i in range(len(token))}
 
 
-def variants(names: DataFrame, nicknames: DataFrame, name_col: str = "name", type_col: str = "entity_type") -> DataFrame:
-    """``(name_a, name_b, link)`` with name_a < name_b: accepted pairs of spellings.
+def variants(names: DataFrame, nicknames: DataFrame, name_col: str = "name", type_col: str = "entity_type", more_short_forms: str = SHORT_FORMS) -> DataFrame:
+    """``(name_a, name_b)`` with name_a < name_b: accepted pairs of spellings.
 
     ``names`` holds every occurrence with its type; null and blank names, and
     names without a letter or digit, take no part.  Names that differ in case,
     blanks or accents only are always linked.  The nickname table is small and
-    fixed; it is read by the driver up to 10,000 rows.
+    fixed; it is read by the driver up to 10,000 rows.  ``more_short_forms`` adds
+    common English ones that it may lack; "" adds none.
     """
     known = nicknames.select("given_name", "short_form").limit(10_001).collect()
     if len(known) > 10_000:
         raise ValueError("the nickname table has more than 10,000 rows")
-    nick = Nicknames([tuple(r) for r in known])
+    nick = Nicknames([tuple(r) for r in known], more_short_forms)
 
     typed = names.select(F.col(name_col).alias("name"), F.col(type_col).alias("type")).where("name is not null")
     kinds = typed.groupBy("name").agg(F.mode("type", True).alias("type"))
@@ -299,7 +302,8 @@ def variants(names: DataFrame, nicknames: DataFrame, name_col: str = "name", typ
     use = each.groupBy("token").agg(F.mode("type", True).alias("type"))
     fixed = nicknames.select(F.explode(F.array("given_name", "short_form")).alias("token")).where("token is not null").select(F.lower(F.trim("token")).alias("token")).distinct().withColumn("listed", F.lit(True))
     stats = use.join(met, "token", "left").join(fixed, "token", "left")
-    common = (F.coalesce("partners", F.lit(0)) > COMMON) | F.col("listed").isNotNull() | (F.length("token") == 1) | F.col("token").isin(*TITLES, *FILLERS, *LEGAL)
+    forms = parsed.select(F.array_join(F.array_sort("tokens"), " ").alias("form")).agg(F.count_distinct("form")).first()[0]
+    common = (F.coalesce("partners", F.lit(0)) > max(COMMON, COMMON_SHARE * forms)) | F.col("listed").isNotNull() | (F.length("token") == 1) | F.col("token").isin(*TITLES, *FILLERS, *LEGAL)
     stats = materialize(stats.select("token", F.coalesce("partners", F.lit(0)).alias("partners"), "type", common.alias("common")), "tokens")
 
     # Misspelled common tokens: one letter off a token that is met ten times as widely.
@@ -329,7 +333,7 @@ def variants(names: DataFrame, nicknames: DataFrame, name_col: str = "name", typ
     reps = materialize(stemmed.groupBy("form").agg(F.min("name").alias("rep"), F.min_by(F.struct("w", "stem"), "name").alias("x")).select("rep", "x.w", "x.stem"), "reps")
     same = stemmed.join(reps.select("rep", F.array_join(F.array_sort(F.transform("w", lambda x: x["t"])), " ").alias("form")), "form").where("name != rep").select(F.col("rep").alias("a"), F.col("name").alias("b"))
 
-    stems = reps.select("stem").distinct().where("length(stem) >= 5").withColumnRenamed("stem", "token")
+    stems = reps.select("stem").distinct().where("length(stem) >= 4").withColumnRenamed("stem", "token")
     close = by_key(stems.mapInArrow(_keys(_spellings), "key string, token string"), "key", "token").mapInArrow(_close_stems, "a string, b string").distinct()
     alike = close.unionByName(reps.select(F.col("stem").alias("a"), F.col("stem").alias("b")).distinct())
     left = reps.select(F.col("rep").alias("name_a"), F.col("w").alias("wa"), F.col("stem").alias("a"))
@@ -345,7 +349,9 @@ def variants(names: DataFrame, nicknames: DataFrame, name_col: str = "name", typ
                 keep = pa.array([i for i, v in enumerate(link) if v], pa.int64())
                 yield pa.RecordBatch.from_arrays([part.column(0).take(keep), part.column(1).take(keep), pa.array([v for v in link if v], pa.int32())], ["a", "b", "link"])
 
-    judged = materialize(pairs.mapInArrow(judge, "a string, b string, link int"), "judged")
+    # Pairs are judged in even shares, however many names one stem has.
+    tasks = int(names.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    judged = materialize(pairs.repartition(tasks, "name_a", "name_b").mapInArrow(judge, "a string, b string, link int"), "judged")
     full = judged.where(F.col("link") == FULL).select("a", "b")
     groups = materialize(connected_components(full, "a", "b"), "groups")
 
@@ -373,3 +379,11 @@ def variant_pairs(links: DataFrame) -> DataFrame:
     all_pairs = few.join(few.withColumnRenamed("name_a", "name_b"), "component").where("name_a < name_b").select("name_a", "name_b")
     rest = stored.join(few.select("name_a"), "name_a", "left_anti").select("name_a", "name_b")
     return all_pairs.unionByName(rest)
+
+
+def variant_groups(links: DataFrame) -> DataFrame:
+    """``(name, group_name, links)`` of every name that has a variant: the smallest name of its component, and its accepted links."""
+    stored = materialize(links, "links")
+    groups = connected_components(stored, "name_a", "name_b")
+    degree = stored.select(F.explode(F.array("name_a", "name_b")).alias("node")).groupBy("node").agg(F.count(F.lit(1)).alias("links"))
+    return groups.join(degree, "node").select(F.col("node").alias("name"), F.col("component").alias("group_name"), "links")

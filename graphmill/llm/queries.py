@@ -87,6 +87,11 @@ def p7_found(spark: SparkSession, sf: str) -> DataFrame:
     return names.variant_pairs(names.variants(_typed_names(spark, sf), table(spark, sf, "given_name_forms")))
 
 
+def p7_groups(spark: SparkSession, sf: str) -> DataFrame:
+    """Of every spelling with a variant, its group, named by the smallest spelling, and the number of its accepted links."""
+    return names.variant_groups(names.variants(_typed_names(spark, sf), table(spark, sf, "given_name_forms")))
+
+
 def p8_ids(spark: SparkSession, sf: str) -> DataFrame:
     return bpe.encode_texts(table(spark, sf, "documents"))
 
@@ -131,6 +136,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p6_method": p6_method,
     "p6_found": p6_found,
     "p7_found": p7_found,
+    "p7_groups": p7_groups,
     "p8_ids": p8_ids,
     "p8_round_trip": p8_round_trip,
     "p9_mix": p9_mix,

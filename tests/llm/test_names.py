@@ -65,3 +65,13 @@ def test_close_stems_far_apart_in_a_long_block(spark):
     nick = spark.createDataFrame([], "given_name string, short_form string")
     got = {tuple(r) for r in names.variants(spark.createDataFrame(rows, "name string, entity_type string"), nick).collect()}
     assert got == {("Xavier Baatoir", "Xavier Buatoir")}
+
+
+def test_groups_and_optional_short_forms(spark, table):
+    nick = spark.createDataFrame([], "given_name string, short_form string")
+    rows = names.variant_groups(names.variants(table, nick)).collect()
+    group = {r["name"]: r["group_name"] for r in rows}
+    assert group["Robert Mikenholt"] == group["Bob Mikenholt"] == min(n for n in group if group[n] == group["Bob Mikenholt"])
+    assert all(r["links"] >= 1 for r in rows)
+    none = {r["name"]: r["group_name"] for r in names.variant_groups(names.variants(table, nick, more_short_forms="")).collect()}
+    assert none.get("Bob Mikenholt") != none["Robert Mikenholt"]
