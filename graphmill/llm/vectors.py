@@ -51,9 +51,12 @@ def usable(df: DataFrame, id_col: str = "id", vector_col: str = "embedding", dim
     return df.select(F.col(id_col).cast("string").alias("id"), v.alias("v")).where(F.col("id").isNotNull() & v.isNotNull() & fine)
 
 
-def _pivots(distinct: DataFrame, n: int) -> np.ndarray:
-    """A sample of min(n, MOST_PIVOTS) vectors by hash, normalised."""
-    rows = distinct.select("v", F.xxhash64("h", F.lit(7)).alias("o")).orderBy("o").limit(n).select("v").toArrow()
+def _pivots(distinct: DataFrame, n: int, size: int) -> np.ndarray:
+    """A sample of ``n`` of ``size`` vectors by hash, normalised; no task reads more than some 2 n of them."""
+    hashed = distinct.select("v", F.xxhash64("h", F.lit(7)).alias("o"))
+    if size > 4 * n:
+        hashed = hashed.where(F.pmod("o", F.lit(1 << 30)) < int((1 << 30) * (2 * n + 100) / size))
+    rows = hashed.orderBy("o").limit(n).select("v").toArrow()
     m = np.stack([np.asarray(x, np.float64) for x in rows.column(0).to_pylist()])
     return (m / np.linalg.norm(m, axis=1, keepdims=True)).astype(np.float32)
 
@@ -121,7 +124,7 @@ def _meet(apart: int, limit: int):
 def _candidates(nodes: DataFrame, size: int, max_bits_apart: int, max_footrule: float, levels: int) -> list[DataFrame]:
     """Pairs ``(x, y)`` of the vectors ``(n, h, v)`` by the index of each level; a pair may be in several levels."""
     wanted = min(MOST_PIVOTS, size, max(FEWEST_PIVOTS, math.ceil(PIVOTS_PER_ROOT * math.sqrt(size))))
-    pivots = _pivots(nodes, wanted)  # at most MOST_PIVOTS * dim floats
+    pivots = _pivots(nodes, wanted, size)  # at most MOST_PIVOTS * dim floats
     prefix = min(PREFIX, len(pivots))
     if prefix < 2:
         return []
