@@ -88,11 +88,11 @@ def mesh(spark, sf):
     li, o = table(spark, sf, "lineitem").select("l_orderkey", "l_suppkey"), table(spark, sf, "orders").select("o_orderkey", "o_custkey")
     c, s = table(spark, sf, "customer").select("c_custkey", "c_nationkey"), table(spark, sf, "supplier").select("s_suppkey", "s_nationkey")
     j = li.join(o, F.col("l_orderkey") == F.col("o_orderkey")).join(c, F.col("o_custkey") == F.col("c_custkey")).join(s, F.col("l_suppkey") == F.col("s_suppkey"))
-    return j.where("c_nationkey != s_nationkey").groupBy(F.least("c_nationkey", "s_nationkey").alias("source"), F.greatest("c_nationkey", "s_nationkey").alias("target")).agg(F.count(F.lit(1)).alias("lines")).where("lines % 3 = 0").select("source", "target", F.col("lines").cast("double").alias("weight"))
+    return j.where("c_nationkey != s_nationkey").groupBy(F.least("c_nationkey", "s_nationkey").alias("source"), F.greatest("c_nationkey", "s_nationkey").alias("target")).agg(F.count(F.lit(1)).alias("lines")).select("source", "target", F.col("lines").cast("double").alias("weight"))
 
 
 _M = """m AS (SELECT least(c_nationkey, s_nationkey) AS source, greatest(c_nationkey, s_nationkey) AS target, count(*) AS weight FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey JOIN supplier ON l_suppkey = s_suppkey
-WHERE c_nationkey <> s_nationkey GROUP BY 1, 2 HAVING count(*) % 3 = 0), u AS (SELECT source AS a, target AS b, weight FROM m UNION ALL SELECT target, source, weight FROM m)"""
+WHERE c_nationkey <> s_nationkey GROUP BY 1, 2), u AS (SELECT source AS a, target AS b, weight FROM m UNION ALL SELECT target, source, weight FROM m)"""
 
 
 @query(f"""WITH {_M}, k AS (SELECT a, count(*) AS k FROM u GROUP BY 1), t AS (SELECT x.a, count(*) AS t FROM u x JOIN u y ON x.a = y.a AND x.b < y.b JOIN m ON m.source = x.b AND m.target = y.b GROUP BY 1)
@@ -173,7 +173,7 @@ def adjacency(spark, sf):
 @query()
 def passage_ranking(spark, sf):
     c = table(spark, sf, "text_chunks").select("id", F.explode("entities").alias("entity")).where("entity is not null").distinct()
-    facts = table(spark, sf, "extracted_entities").where("entity_key is not null and confidence >= 0.95").groupBy("chunk_id").agg(F.min("entity_key").alias("subject"), F.max("entity_key").alias("object"), F.avg("confidence").alias("score")).where("subject != object").select("subject", "object", "score").orderBy(F.desc("score"), "subject", "object").limit(20)
+    facts = table(spark, sf, "extracted_entities").where("entity_key is not null and chunk_id is not null and confidence is not null").groupBy("chunk_id").agg(F.min("entity_key").alias("subject"), F.max("entity_key").alias("object"), F.avg("confidence").alias("score")).where("subject != object").select("subject", "object", "score")
     sim = c.select(F.col("id").alias("passage")).distinct().withColumn("score", F.lit(0.5))
     return graph.passage_ranking(facts, c.select("entity", F.col("id").alias("passage")), sim, iterations=5)
 

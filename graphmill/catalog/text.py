@@ -158,11 +158,11 @@ def combined_similarity(spark, sf):
 
 
 def _answers(spark, sf):
-    """Title and summary-like beginning of each document, as truth and answer."""
-    return docs(spark, sf).select("doc_id", F.substring("text", 1, 200).alias("answer"), F.col("title").alias("truth"))
+    """Title and whole text of each document, as truth and answer."""
+    return docs(spark, sf).select("doc_id", F.col("text").alias("answer"), F.col("title").alias("truth"))
 
 
-@query("""WITH t AS (SELECT doc_id, list_filter(string_split_regex(lower(coalesce(left(text, 200), '')), '\\s+'), lambda w: w <> '') AS g, list_filter(string_split_regex(lower(coalesce(title, '')), '\\s+'), lambda w: w <> '') AS t FROM documents),
+@query("""WITH t AS (SELECT doc_id, list_filter(string_split_regex(lower(coalesce(text, '')), '\\s+'), lambda w: w <> '') AS g, list_filter(string_split_regex(lower(coalesce(title, '')), '\\s+'), lambda w: w <> '') AS t FROM documents),
 h AS (SELECT doc_id, g, t, len(list_filter(g, lambda w: list_contains(t, w))) AS h FROM t)
 SELECT doc_id, round(CASE WHEN h = 0 OR len(g) = 0 OR len(t) = 0 THEN 0 ELSE 2 * (h / len(g)) * (h / len(t)) / (h / len(g) + h / len(t)) END, 6) AS f1 FROM h""")
 def answer_f1(spark, sf):

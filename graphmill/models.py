@@ -41,7 +41,7 @@ def answers(asked: DataFrame, results: DataFrame, model: Model = quoting_model,
     from graphmill.operators.search import ranked
 
     best = ranked(results, k).groupBy("query_id").agg(F.array_sort(F.collect_list(F.struct("rank", "id", "content"))).alias("c"))  # at most k a question
-    lines = F.array_join(F.transform("c", lambda x: F.concat(F.lit("- "), F.regexp_replace(F.substring(x["content"], 1, 500), r"\s+", " "))), "\n")
+    lines = F.array_join(F.transform("c", lambda x: F.concat(F.lit("- "), F.regexp_replace(x["content"], r"\s+", " "))), "\n")
     full = asked.join(best, "query_id", "left").select("query_id", "query", F.coalesce(lines, F.lit("")).alias("context"), F.transform("c", lambda x: x["id"]).alias("sources"))
     said = full.withColumn("answer", generate(F.concat(F.lit("Context:\n"), "context", F.lit("\nQuestion: "), "query"), model))
     words = lambda c: F.array_distinct(F.regexp_extract_all(F.lower(c), F.lit(r"[\p{L}\p{N}]+"), F.lit(0)))

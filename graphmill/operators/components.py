@@ -34,7 +34,7 @@ def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst", m
     Alternates large-star and small-star steps until no edge moves, which takes
     a number of rounds logarithmic in the size of the largest component.  Each
     step is an aggregate with map-side combining and a join, so a hub is never
-    collected.  Self-loops name their node as its own component; null ends are
+    collected.  More rounds than ``max_rounds`` are an error.  Self-loops name their node as its own component; null ends are
     dropped; direction and repeats of edges do not matter.
     """
     all_edges = edges.select(F.col(src).alias("u"), F.col(dst).alias("v")).where("u is not null and v is not null")
@@ -48,6 +48,8 @@ def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst", m
         if now == last:
             break
         last = now
+    else:
+        raise RuntimeError(f"components are not settled after {max_rounds} rounds")
     named = current.select(F.col("u").alias("node"), F.col("v").alias("component"))
     roots = named.select(F.col("component").alias("node"), "component").distinct()
     found = named.unionByName(roots)

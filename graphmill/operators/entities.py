@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from graphmill.functions.similarity import link_similarity
 from graphmill.functions.text import CONCEPT_STOP_WORDS, entity_id, normalize_for_linking
+from graphmill.operators import baskets
 from graphmill.operators.chunking import per_row
 from graphmill.operators.components import connected_components
 from graphmill.session import materialize
@@ -94,9 +95,9 @@ RELATION_BY_TYPES = {
 
 
 def _pairs_in_baskets(mentions: DataFrame, item: str, basket: str) -> DataFrame:
-    """``(a, b, basket)`` with a < b for items of one basket; baskets are joined with themselves by key, never collected."""
+    """``(basket, a, b)`` with a < b for items of one basket, in blocks of bounded size."""
     m = mentions.select(F.col(basket).alias("basket"), F.col(item).alias("item")).where("basket is not null and item is not null").distinct()
-    return m.withColumnRenamed("item", "a").join(m.withColumnRenamed("item", "b"), "basket").where("a < b")
+    return baskets.pairs(m, "basket", "item")
 
 
 def cooccurrence(mentions: DataFrame, item: str, basket: str, least: int = 1) -> DataFrame:
@@ -113,8 +114,8 @@ def cooccurrence(mentions: DataFrame, item: str, basket: str, least: int = 1) ->
 
 def relations_in_chunks(mentions: DataFrame, confidence: float = 0.5) -> DataFrame:
     """``(source, target, relation_type, confidence, chunks)`` between the entities of a chunk, typed by the types of both."""
-    m = mentions.select("chunk", "entity_id", "entity_type").distinct()
-    pair = m.withColumnsRenamed({"entity_id": "a", "entity_type": "ta"}).join(m.withColumnsRenamed({"entity_id": "b", "entity_type": "tb"}), "chunk").where("a < b")
+    m = mentions.where("entity_id is not null").groupBy("chunk", "entity_id").agg(F.min("entity_type").alias("entity_type"))
+    pair = baskets.pairs(m, "chunk", "entity_id", "entity_type").withColumnsRenamed({"basket": "chunk", "entity_type_a": "ta", "entity_type_b": "tb"})
     table = F.create_map(*[F.lit(x) for k, v in RELATION_BY_TYPES.items() for x in (">".join(k), v)])
     straight, turned = F.try_element_at(table, F.concat_ws(">", "ta", "tb")), F.try_element_at(table, F.concat_ws(">", "tb", "ta"))
     named = pair.select("chunk", F.when(straight.isNull() & turned.isNotNull(), F.col("b")).otherwise(F.col("a")).alias("source"), F.when(straight.isNull() & turned.isNotNull(), F.col("a")).otherwise(F.col("b")).alias("target"), F.coalesce(straight, turned, F.lit("RELATED_TO")).alias("relation_type"))
@@ -135,16 +136,23 @@ def inferred_relations(mentions: DataFrame, target: str, least: float = 0.3, k:
 # ---------------------------------------------------------------- linking
 
 
-def link_pairs(entities: DataFrame, least: float = 0.85, sound: bool = False) -> DataFrame:
+def link_pairs(entities: DataFrame, least: float = 0.85, sound: bool = False, hot: int = 1000) -> DataFrame:
     """``(a, b, similarity)`` of entities of one type whose names are similar.
 
     Names are compared only if they share a word, or the Soundex code and the
-    first three letters; both are equality joins.
+    first three letters; both are equality joins.  A word in more than ``hot``
+    names says too little: names that share it are compared if they share a
+    second word with it, or begin or end with the same three letters.
     """
     e = entities.select("id", "name", "entity_type").where("name is not null")
     norm = normalize_for_linking("name")
-    keys = F.array_distinct(F.concat(F.filter(F.split(norm, " "), lambda w: F.length(w) > 1), F.array(F.concat(F.lit("="), F.soundex(norm), F.substring(norm, 1, 3)))))
-    k = e.select("*", F.explode(keys).alias("key"))
+    words = F.array_distinct(F.filter(F.split(norm, " "), lambda w: F.length(w) > 1))
+    each = e.select("*", norm.alias("norm"), words.alias("words")).select("*", F.explode("words").alias("w"))
+    many = each.groupBy("entity_type", "w").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > hot).select("entity_type", "w", F.lit(True).alias("hot"))
+    ends = F.array(F.concat(F.lit("^"), F.substring("norm", 1, 3)), F.concat(F.lit("$"), F.substring("norm", -3, 3)))
+    seconds = F.transform(F.array_union(F.array_remove("words", F.col("w")), ends), lambda x: F.concat_ws(" ", F.array_sort(F.array(F.col("w"), x))))
+    by_word = each.join(many, ["entity_type", "w"], "left").select("id", "name", "entity_type", F.explode(F.when(F.col("hot"), seconds).otherwise(F.array("w"))).alias("key"))
+    k = by_word.unionByName(e.select("*", F.concat(F.lit("="), F.soundex(norm), F.substring(norm, 1, 3)).alias("key")))
     b = k.select(F.col("id").alias("b"), F.col("name").alias("nb"), "entity_type", "key")
     pairs = k.withColumnsRenamed({"id": "a", "name": "na"}).join(b, ["entity_type", "key"]).where("a < b").select("a", "b", "na", "nb").distinct()
     return pairs.select("a", "b", link_similarity("na", "nb", sound).alias("similarity")).where(F.col("similarity") >= least)

@@ -77,7 +77,7 @@ def shortest_distances(edges: DataFrame, sources: DataFrame, direction: str = "b
     """``(seed, node, distance, previous)``: least weights from each source, by rounds of relaxation.
 
     Weights must not be negative.  Only nodes whose distance fell in the last
-    round are expanded in the next.
+    round are expanded in the next.  Paths of ``max_rounds`` edges or more are an error.
     """
     steps = oriented(edges.select("source", "target", F.col("weight").cast("double").alias("weight")), direction).groupBy("source", "target").agg(F.min("weight").alias("weight"))
     best = sources.select(F.col("node").alias("seed"), "node", F.lit(0.0).alias("distance"), F.lit(None).cast("string").alias("previous")).distinct()
@@ -93,6 +93,8 @@ def shortest_distances(edges: DataFrame, sources: DataFrame, direction: str = "b
         changed = now.where("changed").drop("changed")
         if changed.isEmpty():
             break
+    else:
+        raise RuntimeError(f"distances are not settled after {max_rounds} rounds")
     return best
 
 
@@ -179,6 +181,8 @@ def betweenness(edges: DataFrame, nodes: DataFrame, max_rounds: int = 50) -> Dat
         step = walk.groupBy("at").agg(F.count(F.lit(1)).alias("n"))
         counts = step if counts is None else counts.unionByName(step)
         walk = walk.join(links, ["seed", "at"]).where("previous is not null and previous != seed").select("seed", F.col("previous").alias("at"))
+    else:
+        raise RuntimeError(f"paths are longer than {max_rounds} edges")
     scale = max((n - 1) * (n - 2) / 2, 1)
     all_nodes = d.select(F.col("node").cast("string").alias("node")).distinct()
     if counts is None:
@@ -229,22 +233,19 @@ def pagerank(edges: DataFrame, seeds: DataFrame | None = None, damping: float =
         base = base.join(s, "node", "left").withColumn("reset", F.coalesce("seed_weight", reset)).drop("seed_weight")
     else:
         base = base.withColumn("reset", reset)
-    base = materialize(base, "nodes")
-    rank = materialize(base.select("node", F.lit(1.0 / n).alias("score")), "rank")
+    # One table a round holds all that the next needs; one aggregate over it gives the lost score, the sum and the largest move.
+    rank = materialize(base.select("node", "sends", "reset", F.lit(1.0 / n).alias("score"), F.lit(0.0).alias("old")), "rank")
+    watched = [F.sum(F.when(F.col("sends").isNull(), F.col("score"))).alias("lost"), F.sum("score").alias("total"), F.max(F.abs(F.col("score") - F.col("old"))).alias("moved")]
+    seen = rank.agg(*watched).first()
     for _ in range(iterations):
-        lost = rank.join(base.where("sends is null").select("node"), "node", "left_semi").agg(F.sum("score")).first()[0] or 0.0
-        got = share.join(rank.withColumnRenamed("node", "source"), "source").groupBy(F.col("target").alias("node")).agg(F.sum(F.col("share") * F.col("score")).alias("got"))
-        score = (1 - damping) * F.col("reset") + damping * (F.coalesce("got", F.lit(0.0)) + lost / n)
-        new = materialize(base.join(got, "node", "left").select("node", score.alias("score")), "rank")
-        moved = None
-        if tolerance > 0:
-            moved = new.join(rank.withColumnRenamed("score", "old"), "node").agg(F.max(F.abs(F.col("score") - F.col("old")))).first()[0]
+        got = share.join(rank.select(F.col("node").alias("source"), "score"), "source").groupBy(F.col("target").alias("node")).agg(F.sum(F.col("share") * F.col("score")).alias("got"))
+        score = (1 - damping) * F.col("reset") + damping * (F.coalesce("got", F.lit(0.0)) + (seen["lost"] or 0.0) / n)
+        new = materialize(rank.join(got, "node", "left").select("node", "sends", "reset", score.alias("score"), F.col("score").alias("old")), "rank")
         release(rank)
-        rank = new
-        if moved is not None and moved < tolerance:
+        rank, seen = new, new.agg(*watched).first()
+        if tolerance > 0 and seen["moved"] < tolerance:
             break
-    total = rank.agg(F.sum("score")).first()[0] or 1.0
-    return rank.select("node", (F.col("score") / total).alias("score"))
+    return rank.select("node", (F.col("score") / (seen["total"] or 1.0)).alias("score"))
 
 
 def combine_scores(lists: dict[str, tuple[DataFrame, float]]) -> DataFrame:
@@ -356,12 +357,15 @@ def random_walks(edges: DataFrame, length: int = 10, per_node: int = 2, p: float
     return walks.select("walk", "path")
 
 
-def node_vectors(edges: DataFrame, size: int = 32, seed: int = 42, **walk) -> DataFrame:
-    """``(node, vector)`` trained on random walks by skip-gram."""
+def node_vectors(edges: DataFrame, size: int = 32, seed: int = 42, partitions: int | None = None, **walk) -> DataFrame:
+    """``(node, vector)`` trained on random walks by skip-gram, in ``partitions`` tasks (the session's shuffle partitions) whose models are averaged.
+
+    The model, nodes * ``size`` floats, is held by the driver and each task, as the library does it.
+    """
     from pyspark.ml.feature import Word2Vec
 
     walks = random_walks(edges, seed=seed, **walk).select(F.transform("path", lambda x: x.cast("string")).alias("path"))
-    model = Word2Vec(vectorSize=size, minCount=1, seed=seed, inputCol="path", outputCol="v", numPartitions=1, maxIter=1).fit(walks)
+    model = Word2Vec(vectorSize=size, minCount=1, seed=seed, inputCol="path", outputCol="v", numPartitions=partitions or int(edges.sparkSession.conf.get("spark.sql.shuffle.partitions")), maxIter=1).fit(walks)
     from pyspark.ml.functions import vector_to_array
 
     return model.getVectors().select(F.col("word").alias("node"), vector_to_array("vector").alias("vector"))

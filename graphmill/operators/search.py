@@ -19,6 +19,7 @@ from pyspark.sql.pandas.types import to_arrow_schema
 
 from graphmill.functions.text import content_signature, keyword_tokens, plain_tokens, search_tokens
 from graphmill.functions.vector import closeness, cosine
+from graphmill.session import materialize
 
 #: Largest number of queries that is broadcast to the documents; more are joined by shuffle.
 FEW_QUERIES = 10_000
@@ -40,23 +41,33 @@ def postings(docs: DataFrame, id_col: str, text_col: str, tokens: Column | None
 
 
 def document_frequency(post: DataFrame) -> DataFrame:
-    return post.groupBy("term").agg(F.count_distinct("id").alias("df"))
+    return post.groupBy("term").agg(F.count(F.lit(1)).alias("df"))  # a document and term are one row
 
 
 def bm25(docs: DataFrame, queries: DataFrame, id_col: str, text_col: str, k1: float = 1.2, b: float = 0.75, tf: str = "relative") -> DataFrame:
     """``(query_id, id, score)`` of every document that holds a query term.
 
-    ``queries`` has ``query_id, query``.  Only the query terms are taken out of
-    each document, before any shuffle; document lengths and counts come from
-    the same pass.  A term repeated in a query counts as often.  ``tf="raw"``
+    ``queries`` has ``query_id, query``.  Texts are cut into tokens once, into a
+    stored table of length and query terms of each document; lengths and counts
+    come from it.  A term repeated in a query counts as often.  ``tf="raw"``
     uses counts, the default counts divided by the length.
     """
     terms = queries.select("query_id", F.explode(search_tokens("query")).alias("term")).groupBy("query_id", "term").agg(F.count(F.lit(1)).alias("times"))
     few = terms.limit(FEW_QUERIES + 1).count() <= FEW_QUERIES
-    terms, wanted = (F.broadcast(x) if few else x for x in (terms, terms.select("term").distinct()))
     toks = docs.select(F.col(id_col).alias("id"), search_tokens(text_col).alias("t"))
-    whole = toks.agg(F.count(F.lit(1)).alias("docs"), F.avg(F.size("t")).alias("mean"))
-    hits = toks.select("id", F.size("t").alias("length"), F.explode("t").alias("term")).join(wanted, "term", "left_semi").groupBy("id", "length", "term").agg(F.count(F.lit(1)).alias("n"))
+    length = F.size("t").alias("length")
+    if few:  # at most FEW_QUERIES terms
+        known = [r[0] for r in terms.select("term").distinct().collect()]
+        kept = F.filter("t", lambda w: w.isin(known)) if known else F.array().cast("array<string>")
+        terms = F.broadcast(terms)
+    else:
+        kept = F.col("t")
+    read = materialize(toks.select("id", length, kept.alias("t")), "tokens")
+    whole = read.agg(F.count(F.lit(1)).alias("docs"), F.avg("length").alias("mean"))
+    hits = read.select("id", "length", F.explode("t").alias("term"))
+    if not few:
+        hits = hits.join(terms.select("term").distinct(), "term", "left_semi")
+    hits = hits.groupBy("id", "length", "term").agg(F.count(F.lit(1)).alias("n"))
     df = hits.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
     freq = F.col("n") / F.col("length") if tf == "relative" else F.col("n").cast("double")
     joined = hits.join(df, "term").join(terms, "term").crossJoin(F.broadcast(whole))  # one row
@@ -120,27 +131,16 @@ def diverse(df: DataFrame, k: int) -> DataFrame:
     """Up to ``k`` rows per query chosen in order of score: those above 0.8, those that bring a new entity,
     and any while fewer than half are chosen; the best of the others fill up.
 
-    The choice depends on the order, so each query's list is walked in one
-    task; lists are cut to the best 50 * k rows before, which bounds it.
+    A row left out has no entity that those before it lack, so a row brings a
+    new one if it is the first of all rows to hold it.  That makes the choice
+    an aggregate and two rankings, without walking any list.
     """
-    import pandas as pd
-
-    cut = top_k(df, 50 * k, ["query_id"], [F.desc("score"), F.asc("id")]).drop("rank")
-
-    def pick(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["score", "id"], ascending=[False, True]).reset_index(drop=True)
-        chosen, seen = [], set()
-        for i, (score, ents) in enumerate(zip(pdf["score"], pdf["entities"])):
-            if len(chosen) == k:
-                break
-            ents = set() if ents is None else set(ents)
-            if score > 0.8 or ents - seen or len(chosen) < k / 2:
-                chosen.append(i)
-                seen |= ents
-        chosen += [i for i in range(len(pdf)) if i not in set(chosen)][: k - len(chosen)]
-        return pdf.loc[sorted(chosen)]
-
-    return cut.groupBy("query_id").applyInPandas(pick, cut.schema)
+    order = [F.desc("score"), F.asc("id")]
+    rows = df.withColumn("_r", F.row_number().over(W.partitionBy("query_id").orderBy(*order)))
+    first = rows.select("query_id", "_r", F.explode("entities").alias("e")).groupBy("query_id", "e").agg(F.min("_r").alias("_r")).select("query_id", "_r").distinct().withColumn("_new", F.lit(True))
+    fine = (F.col("score") > 0.8) | F.col("_new").isNotNull() | (F.col("_r") <= -(-k // 2))
+    marked = rows.join(first, ["query_id", "_r"], "left").withColumn("_fine", fine)
+    return marked.withColumn("_k", F.row_number().over(W.partitionBy("query_id").orderBy(F.desc("_fine"), "_r"))).where(F.col("_k") <= k).select(*df.columns)
 
 
 # ---------------------------------------------------------------- vectors

@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from graphmill.functions.measures import map_changes, map_hash
+from graphmill.session import exists, listed
 
 
 def latest(log: DataFrame, key: list[str], order: list[str]) -> DataFrame:
@@ -132,21 +134,47 @@ def run_available(stream: DataFrame, each_batch: Callable[[DataFrame, int], None
     q.awaitTermination()
 
 
-def upsert_sink(path: str, key: list[str], order: list[str]) -> Callable[[DataFrame, int], None]:
-    """A ``foreachBatch`` sink that merges change batches into versions ``path/vN``; a batch seen before is not merged twice."""
+def upsert_sink(path: str, key: list[str], order: list[str], buckets: int = 64) -> Callable[[DataFrame, int], None]:
+    """A ``foreachBatch`` sink that merges change batches into a table of hash buckets; a batch seen before is not merged twice.
+
+    Each batch rewrites only the buckets its keys fall into, under
+    ``path/data/<batch>``, and then notes in ``path/manifest/<batch>`` which
+    folder holds each bucket; ``read_upserts`` follows the last note.  ``buckets``
+    counts for a new table only.
+    """
 
     def sink(batch: DataFrame, number: int) -> None:
         spark = batch.sparkSession
-        root = spark._jvm.org.apache.hadoop.fs.Path(path)
-        fs = root.getFileSystem(spark._jsc.hadoopConfiguration())
-        done = [int(s.getPath().getName()[1:]) for s in fs.listStatus(root) if s.getPath().getName().startswith("v")] if fs.exists(root) else []
-        done = [v for v in done if fs.exists(spark._jvm.org.apache.hadoop.fs.Path(f"{path}/v{v}/_SUCCESS"))]
+        done = _batches(spark, path)
         if number in done:
             return
-        log = batch
-        before = [v for v in done if v < number]
-        if before:
-            log = batch.unionByName(spark.read.parquet(f"{path}/v{max(before)}").withColumn("operation", F.lit("upsert")), allowMissingColumns=True)
-        latest(log, key, order).write.mode("overwrite").parquet(f"{path}/v{number}")
+        before = _manifest(spark, path, max(done)) if done else {"buckets": buckets, "at": {}}
+        bucket = F.pmod(F.xxhash64(*key), F.lit(before["buckets"])).cast("int")
+        fresh = batch.withColumn("bucket", bucket)
+        hit = {str(r[0]) for r in fresh.select("bucket").distinct().collect()}  # at most ``buckets`` numbers
+        old = [f"{path}/{p}" for b, p in before["at"].items() if b in hit]
+        log = fresh
+        if old:
+            log = fresh.unionByName(spark.read.parquet(*old).withColumn("bucket", bucket).withColumn("operation", F.lit("upsert")), allowMissingColumns=True)
+        merged = latest(log, ["bucket", *key], order)
+        merged.repartition(max(1, len(hit)), "bucket").write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/data/{number}")
+        written = {name.split("=")[1]: f"data/{number}/{name}" for name in listed(spark, f"{path}/data/{number}") if name.startswith("bucket=")}
+        at = {b: p for b, p in before["at"].items() if b not in hit} | written
+        note = json.dumps({"buckets": before["buckets"], "at": at})
+        spark.createDataFrame([(note,)], "value string").coalesce(1).write.mode("overwrite").text(f"{path}/manifest/{number}")
 
     return sink
+
+
+def _batches(spark: SparkSession, path: str) -> list[int]:
+    return [int(n) for n in listed(spark, f"{path}/manifest") if exists(spark, f"{path}/manifest/{n}/_SUCCESS")]
+
+
+def _manifest(spark: SparkSession, path: str, number: int) -> dict:
+    return json.loads(spark.read.text(f"{path}/manifest/{number}").first()[0])
+
+
+def read_upserts(spark: SparkSession, path: str) -> DataFrame:
+    """The table that ``upsert_sink`` keeps, as of its last batch; an error if there is none yet."""
+    paths = list(_manifest(spark, path, max(_batches(spark, path)))["at"].values())
+    return spark.read.parquet(*[f"{path}/{p}" for p in paths])
