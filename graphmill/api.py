@@ -50,7 +50,7 @@ class Engine:
         mentions = materialize(entities.extract_entities(chunks, "id", "content", self.least_confidence).withColumnRenamed("id", "chunk"), "mentions")
         merged = entities.merge_entities(mentions, [F.col("entity_id")])
         ents = materialize(merged.withColumn("id", F.concat_ws("_", "entity_type", F.regexp_replace(F.lower("name"), r"[^\p{L}\p{N}_]", ""))), "entities")
-        relations = materialize(entities.relations_in_chunks(mentions), "relations")
+        relations = materialize(entities.relations_in_chunks(mentions, chunks.select(F.col("id").alias("chunk"), "content")), "relations")
         self.tables |= {"chunks": chunks, "mentions": mentions, "entities": ents, "relations": relations}
         return self.tables
 

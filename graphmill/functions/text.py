@@ -205,3 +205,42 @@ def fact_time(phrase: str | Column) -> Column:
     number = F.when(year != "", year.cast("bigint"))
     signed = F.when(p.rlike(r"(?i)\b(bc|bce|b\.c\.)"), -number).otherwise(number)
     return (signed - 1970) * 365 * 86400
+
+
+# The closed classes of words, and common open ones, by which a word is tagged.
+WORD_CLASSES = {
+    "Determiner": "the a an this that these those my your his her its our their some any no every each".split(),
+    "Pronoun": "i you he she it we they me him us them who what which whom whose".split(),
+    "Preposition": "in on at by for with about against between into through during before after above below to from of off over under".split(),
+    "Conjunction": "and or but nor so yet because although while if unless until".split(),
+    "Adverb": "not very too also just now then here there always never often only".split(),
+    "Verb": "is are was were be been being have has had do does did will would can could shall should may might must go make take see get know".split(),
+    "Adjective": "good new first last long great little own other old right big high small large".split(),
+}
+
+
+def word_class(word: str | Column) -> Column:
+    """Tag of a word: punctuation, number, known class, proper noun if capitalised, else by its ending, else noun."""
+    w = _col(word)
+    low = F.lower(w)
+    out = F.when(w.rlike(r"^\p{Punct}+$"), "Punctuation").when(w.rlike("^[0-9]+$"), "Number")
+    for name, known in WORD_CLASSES.items():
+        out = out.when(low.isin(*known), name)
+    out = out.when(w.rlike(r"^\p{Lu}"), "ProperNoun").when(low.endswith("ing"), "VerbGerund").when(low.endswith("ed"), "VerbPast")
+    out = out.when(low.endswith("s") & ~low.endswith("ss"), "NounPlural").when(low.rlike("(?:ive|ous|ful)$"), "Adjective").when(low.endswith("ly"), "Adverb")
+    return out.otherwise("Noun")
+
+
+def tagged(text: str | Column) -> Column:
+    """Words and marks of a text with their tag, as an array of ``(word, tag)``."""
+    words = F.regexp_extract_all(F.coalesce(_col(text), F.lit("")), F.lit(r"[\p{L}\p{N}]+|[^\p{L}\p{N}\s]"), F.lit(0))
+    return F.transform(words, lambda w: F.struct(w.alias("word"), word_class(w).alias("tag")))
+
+
+def noun_phrases(text: str | Column) -> Column:
+    """Runs of adjectives and nouns that end with a noun, of two words or more."""
+    short = {"Adjective": "A", "Noun": "N", "NounPlural": "N", "ProperNoun": "N"}
+    code = F.create_map(*[F.lit(x) for kv in short.items() for x in kv])
+    line = F.array_join(F.transform(tagged(text), lambda t: F.concat(F.coalesce(F.try_element_at(code, t["tag"]), F.lit("x")), F.lit("/"), t["word"])), " ")
+    runs = F.regexp_extract_all(line, F.lit(r"(?:(?<=^| )[AN]/\S+ )+N/\S+"), F.lit(0))
+    return F.transform(runs, lambda r: F.regexp_replace(r, r"(^| )[AN]/", "$1"))

@@ -84,6 +84,34 @@ def gleaned(chunks: DataFrame, id_col: str, text_col: str, model: Model = patter
     return out
 
 
+def titled_context(prompts: list[str]) -> list[str]:
+    """Stands in for a model that says where a chunk belongs: the first line of its document."""
+    return [f"From: {(re.findall(r'(?m)^[#> ]*(.*[^ #>].*)$', p.split('Chunk:')[0].removeprefix('Document:')) or [''])[0].strip()}" for p in prompts]
+
+
+def contextualised(chunks: DataFrame, documents: DataFrame, model: Model = titled_context) -> DataFrame:
+    """``chunks`` (id, document_id, content) with ``context``, what a model says of a chunk within its document (id, content), put before the content."""
+    d = documents.select(F.col("id").alias("document_id"), F.col("content").alias("_whole"))
+    prompt = F.concat(F.lit("Document:\n"), F.coalesce("_whole", F.lit("")), F.lit("\nChunk:\n"), "content")
+    said = chunks.join(d, "document_id", "left").withColumn("context", generate(prompt, model)).drop("_whole")
+    return said.withColumn("content", F.concat_ws("\n\n", "context", "content"))
+
+
+def synthesized(parts: DataFrame, how: str = "ordered", model: Model | None = None) -> DataFrame:
+    """``(query_id, answer)`` of the answers to the parts of a question (query_id, part, answer, confidence).
+
+    ``ordered``: all in order of the part; ``best``: that of the highest
+    confidence; ``template``: numbered lines; ``model``: what a model makes of
+    the ordered ones.  A question has few parts.
+    """
+    if how == "best":
+        return parts.groupBy("query_id").agg(F.max_by("answer", F.struct("confidence", -F.col("part"))).alias("answer"))
+    line = F.concat(F.col("part").cast("string"), F.lit(". "), "answer") if how == "template" else F.col("answer")
+    lines = parts.where("answer is not null").groupBy("query_id").agg(F.array_sort(F.collect_list(F.struct("part", line.alias("t")))).alias("x"))
+    text = F.array_join(F.transform("x", lambda x: x["t"]), "\n" if how == "template" else " ")
+    return lines.select("query_id", (generate(text, model) if how == "model" and model else text).alias("answer"))
+
+
 class Functions:
     """Functions by name over the tables of a graph, with a log of calls and a limit."""
 
@@ -134,3 +162,19 @@ class Functions:
         from graphmill.operators.entities import inferred_relations
 
         return inferred_relations(self.tables["mentions"], entity, 0.0)
+
+    def plan(self, question: str) -> list[tuple[str, dict]]:
+        """Calls that answer a question: two entities named are traversed, one is expanded and put in context, none is searched by words."""
+        words = {w for w in re.findall(r"\w+", question.lower()) if len(w) > 2}
+        known = F.array_distinct(F.regexp_extract_all(F.lower("name"), F.lit(r"[\p{L}\p{N}]+"), F.lit(0)))
+        hit = self.tables["entities"].where(F.forall(known, lambda w: w.isin(*words)) & (F.size(known) > 0)) if words else self.tables["entities"].limit(0)
+        named = [r["id"] for r in hit.orderBy(F.desc(F.length("name")), "id").limit(2).collect()]
+        if len(named) == 2:
+            return [("relationship_traverse", {"source": named[0], "target": named[1]}), ("relationship_traverse", {"source": named[1], "target": named[0]})]
+        if named:
+            return [("entity_expand", {"entity": named[0]}), ("get_entity_context", {"entity": named[0]}), ("infer_relationships", {"entity": named[0]})]
+        return [("graph_search", {"name": w}) for w in sorted(words, key=lambda w: (-len(w), w))[:3]]
+
+    def run(self, question: str) -> list[tuple[str, DataFrame]]:
+        """The results of the planned calls, in order."""
+        return [(name, self.call(name, **arguments)) for name, arguments in self.plan(question)]

@@ -7,15 +7,18 @@ Offsets are characters, end exclusive.  Null texts give no chunks.
 
 from __future__ import annotations
 
+import heapq
 import re
 from collections import Counter
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from graphmill.functions.text import sentences, split_words
+
 CHUNK = "seq int, start_offset bigint, end_offset bigint, content string"
 
 
@@ -198,6 +201,11 @@ STRATEGIES: dict[str, Callable[[str], list[tuple]]] = {
     "hierarchical": lambda t: hierarchical_cuts(t, 1000, 200),
     "semantic": semantic_cuts,
     "similarity": lambda t: similarity_cuts(t, 0.1, 5),
+    "sized": lambda t: sized_cuts(t),
+    "topic": lambda t: topic_cuts(t),
+    "hybrid": lambda t: hybrid_cuts(t),
+    "late": lambda t: late_sections(t, 32_768),
+    "coherent": lambda t: coherent_cuts(t),
 }
 
 
@@ -205,6 +213,179 @@ def chunk_with(df: DataFrame, strategy: str, id_col: str, text_col: str) -> Data
     return per_row(df, id_col, text_col, STRATEGIES[strategy], CHUNK)
 
 
+# Words whose full stop does not end a sentence.
+ABBREVIATIONS = "Dr Mr Mrs Ms Prof Jr Sr Inc Corp Ltd Co etc vs e.g i.e cf pp".split()
+_SHORT = "|".join(re.escape(a) for a in ABBREVIATIONS)
+#: Ends of sentences: a mark before a blank, a line end or the text's end, not after an abbreviation or the initial a text begins with.
+SENTENCE_END = rf"(?<!^[A-Z](?=\.))(?<!(?:^|[ \t\r\n\f])(?i:{_SHORT})(?=\.))[.!?](?=[ \n]|\z)"
+
+
+def sentence_ends(text: str | Column) -> Column:
+    """How many sentences a text ends, by ``SENTENCE_END``."""
+    return F.regexp_count(F.coalesce(F.col(text) if isinstance(text, str) else text, F.lit("")), F.lit(SENTENCE_END))
+
+
+def end_before(text: str, start: int, end: int, window: int = 300) -> int | None:
+    """The last sentence end in the last ``window`` characters of ``text[start:end]``."""
+    low = max(start, end - window)
+    part, last = text[low:end], None
+    for m in re.finditer(r"[.!?](?=[ \n]|\Z)", part):
+        word = re.split(r"[ \t\r\n\f]", part[: m.start()])[-1]
+        initial = m.start() == 1 and part[0].isascii() and part[0].isupper()
+        if m.group() == "." and (word.lower() in {a.lower() for a in ABBREVIATIONS} or initial):
+            continue
+        last = low + m.end()
+    return last
+
+
+def sized_cuts(text: str, least: int = 200, most: int = 2000) -> list[tuple]:
+    """Paragraphs of at least ``least`` characters: shorter ones go with the one before, longer ones than ``most`` are cut at sentence ends.
+
+    A single sentence longer than ``most`` stays whole.
+    """
+    edges, at = [], 0
+    for m in re.finditer(r"\n\s*\n", text):
+        edges.append((at, m.start()))
+        at = m.end()
+    spans: list[list[int]] = []
+    for a, b in [(a, b) for a, b in [*edges, (at, len(text))] if text[a:b].strip()]:
+        if b - a > most:
+            pieces = [(a + x, a + y) for x, y in sentence_spans(text[a:b])]
+            for x, y in pieces:
+                if spans and spans[-1][0] >= a and y - spans[-1][0] <= most:
+                    spans[-1][1] = y
+                else:
+                    spans.append([x, y])
+        elif b - a < least and spans:
+            spans[-1][1] = b
+        else:
+            spans.append([a, b])
+    return [(i, a, b, text[a:b]) for i, (a, b) in enumerate(spans)]
+
+
+def topic_cuts(text: str, least: float = 0.1) -> list[tuple]:
+    """Paragraphs joined while the next one shares at least ``least`` of their words (Jaccard)."""
+    spans, out = [m.span() for m in re.finditer(r"(?s)\S.*?(?=\n\s*\n|\Z)", text)], []
+    have: set[str] = set()
+    for a, b in spans:
+        words = set(re.findall(r"\w+", text[a:b].lower()))
+        union = have | words
+        if out and union and len(have & words) / len(union) >= least:
+            out[-1][1] = b
+            have |= words
+        else:
+            out.append([a, b])
+            have = words
+    return [(i, a, b, text[a:b]) for i, (a, b) in enumerate(out)]
+
+
+def hybrid_cuts(text: str, size: int = 1000, least: float = 0.1) -> list[tuple]:
+    """Topics, those longer than ``size`` cut into sentences joined by similarity."""
+    out = []
+    for _, a, b, part in topic_cuts(text, least):
+        out += [(a + x, a + y) for _, x, y, _ in similarity_cuts(part, least, 5)] if b - a > size else [(a, b)]
+    return [(i, a, b, text[a:b]) for i, (a, b) in enumerate(out)]
+
+
+def late_sections(text: str, most: int) -> list[tuple]:
+    """Runs of whole paragraphs of at most ``most`` characters, for a model that reads a section at once; one longer paragraph stays whole."""
+    if len(text) <= most:
+        return [(0, 0, len(text), text)] if text.strip() else []
+    out: list[list[int]] = []
+    for m in re.finditer(r"(?s)(?:(?!\n\n).)+", text):
+        if out and m.end() - out[-1][0] <= most:
+            out[-1][1] = m.end()
+        else:
+            out.append([m.start(), m.end()])
+    return [(i, a, b, text[a:b]) for i, (a, b) in enumerate((a, b) for a, b in out if text[a:b].strip())]
+
+
+class Coherence:
+    """Coherence of runs of sentences: ``weight`` * mean likeness of neighbours + the rest * mean likeness within a window.
+
+    Sums are kept from the beginning, for each distance within the window, so a
+    run is scored without walking it.  A single sentence has coherence 1.
+    """
+
+    def __init__(self, vectors: list, weight: float = 0.7, window: int = 3, like: Callable | None = None) -> None:
+        self.weight, like = weight, like or _cosine
+        self.sums = []
+        for d in range(1, max(1, window // 2) + 1):
+            run = [0.0]
+            for x, y in zip(vectors, vectors[d:]):
+                run.append(run[-1] + like(x, y))
+            self.sums.append(run)
+
+    def __call__(self, a: int, b: int) -> float:
+        if b - a < 2:
+            return 1.0
+        parts = [(run[b - d] - run[a], b - a - d) for d, run in enumerate(self.sums, 1) if b - a > d]
+        near = parts[0][0] / parts[0][1]
+        wide = sum(s for s, _ in parts) / sum(n for _, n in parts)
+        return min(1.0, max(0.0, self.weight * near + (1 - self.weight) * wide))
+
+
+def coherent_cuts(text: str, least_sentences: int = 2, most_sentences: int = 20, rounds: int = 100) -> list[tuple]:
+    """Cuts that raise the mean coherence of the pieces most, one after another, while it rises and at most ``rounds`` times.
+
+    Pieces keep ``least_sentences``; those with more than ``most_sentences`` are
+    first cut at their best place, whether it rises or not.
+    """
+    spans = sentence_spans(text)
+    if not spans:
+        return []
+    score = Coherence([_vector(text[a:b]) for a, b in spans])
+
+    def best(a: int, b: int) -> tuple:
+        """``(gain of the sum, minus the place)``; the first of equal places."""
+        return max(((score(a, c) + score(c, b) - score(a, b), -c) for c in range(a + least_sentences, b - least_sentences + 1)), default=(None, 0))
+
+    done, long = [], [(0, len(spans))]
+    while long:
+        a, b = long.pop()
+        gain, cut = best(a, b) if b - a > most_sentences else (None, 0)
+        if gain is None:
+            done.append((a, b))
+        else:
+            long += [(a, -cut), (-cut, b)]
+    total, pieces = sum(score(a, b) for a, b in done), {p: best(*p) for p in done}
+    heap = [(-g, p[0], p, -c) for p, (g, c) in pieces.items() if g is not None]
+    heapq.heapify(heap)
+    for _ in range(rounds):
+        if not heap:
+            break
+        gain, _, (a, b), cut = heap[0]
+        n = len(pieces)
+        if (total - gain) / (n + 1) - total / n <= 1e-12:
+            break
+        heapq.heappop(heap)
+        total -= gain
+        del pieces[a, b]
+        for p in ((a, cut), (cut, b)):
+            g, c = pieces[p] = best(*p)
+            if g is not None:
+                heapq.heappush(heap, (-g, p[0], p, -c))
+    return _joined(text, spans, sorted(a for a, _ in pieces))
+
+
+def sentence_coherence(text: str | Column) -> Column:
+    """Mean share of common words (Jaccard) of neighbouring sentences; 1 for fewer than two."""
+    each = F.transform(sentences(text), lambda s: F.array_distinct(split_words(F.lower(s))))
+    n = F.size(each)
+    pair = F.zip_with(F.slice(each, 1, F.greatest(n - 1, F.lit(0))), F.slice(each, 2, F.greatest(n - 1, F.lit(0))), lambda a, b: F.when(F.size(F.array_union(a, b)) == 0, 0.0).otherwise(F.size(F.array_intersect(a, b)) / F.size(F.array_union(a, b))))
+    return F.when(n < 2, 1.0).otherwise(F.aggregate(pair, F.lit(0.0), lambda s, x: s + x) / (n - 1))
+
+
+def contexts(df: DataFrame, id_col: str, text_col: str, before: str, target: str, after: str) -> DataFrame:
+    """``(id, word, place)``: middle words of three in a row that hold ``before``, ``target`` and ``after``, without case."""
+    w = split_words(text_col)
+    low = F.transform("w", F.lower)
+    ok = lambda i, part: F.contains(F.element_at("low", i), F.lit(part.lower()))
+    hits = F.filter(F.sequence(F.lit(2), F.size("w") - 1), lambda i: ok(i - 1, before) & ok(i, target) & ok(i + 1, after))
+    rows = df.select(id_col, w.alias("w")).where(F.size("w") > 2).withColumn("low", low)
+    return rows.select(id_col, "w", F.explode(hits).alias("i")).select(id_col, F.element_at("w", F.col("i")).alias("word"), (F.col("i") - 1).alias("place"))
+
+
 # ---------------------------------------------------------------- structure
 
 

@@ -7,7 +7,7 @@ import re
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from graphmill.functions.similarity import link_similarity
+from graphmill.functions.similarity import jaccard, link_similarity
 from graphmill.functions.text import CONCEPT_STOP_WORDS, entity_id, normalize_for_linking
 from graphmill.operators import baskets
 from graphmill.operators.chunking import per_row
@@ -85,13 +85,14 @@ def merge_entities(mentions: DataFrame, by: list[Column]) -> DataFrame:
     return g.drop(*keys)
 
 
-# What joins two entities of these types met in one chunk.
-RELATION_BY_TYPES = {
-    ("PERSON", "PERSON"): "KNOWS", ("PERSON", "ORGANIZATION"): "WORKS_FOR", ("PERSON", "LOCATION"): "LOCATED_IN",
-    ("ORGANIZATION", "LOCATION"): "LOCATED_IN", ("CONCEPT", "CONCEPT"): "RELATED_TO", ("EVENT", "PERSON"): "INVOLVES",
-    ("EVENT", "LOCATION"): "OCCURRED_AT", ("PERSON", "EVENT"): "PARTICIPATED_IN", ("PERSON", "CONCEPT"): "ASSOCIATED_WITH",
-    ("ORGANIZATION", "CONCEPT"): "ASSOCIATED_WITH",
-}
+# The relation of two entities met in one chunk, by their types: words of the chunk that
+# tell it, in order, and what holds without any of them.  Other types are RELATED_TO.
+RELATION_RULES = {
+    ("PERSON", "ORGANIZATION"): ((("works for", "employed by"), "WORKS_FOR"), (("founded", "CEO"), "LEADS"), "ASSOCIATED_WITH"),
+    ("PERSON", "LOCATION"): ((("born in", "from"), "BORN_IN"), (("lives in", "based in"), "LOCATED_IN"), "ASSOCIATED_WITH"),
+    ("ORGANIZATION", "LOCATION"): ((("headquartered", "based in"), "HEADQUARTERED_IN"), "LOCATED_IN"),
+    ("PERSON", "PERSON"): ((("married", "spouse"), "MARRIED_TO"), (("colleague", "partner"), "COLLEAGUE_OF"), "KNOWS"),
+}
 
 
 def _pairs_in_baskets(mentions: DataFrame, item: str, basket: str) -> DataFrame:
@@ -112,14 +113,30 @@ def cooccurrence(mentions: DataFrame, item: str, basket: str, least: int = 1) ->
     return both.select("a", "b", "n", (F.col("n") / (F.col("da") + F.col("db") - F.col("n"))).alias("jaccard"))
 
 
-def relations_in_chunks(mentions: DataFrame, confidence: float = 0.5) -> DataFrame:
-    """``(source, target, relation_type, confidence, chunks)`` between the entities of a chunk, typed by the types of both."""
+def relations_in_chunks(mentions: DataFrame, chunks: DataFrame | None = None, confidence: float = 0.5) -> DataFrame:
+    """``(source, target, relation_type, confidence, chunks)`` between every two entities of a chunk.
+
+    The type follows from the types of both, whichever comes first, and from
+    words of the chunk's text if ``chunks`` (chunk, content) is given; the
+    smaller id is the source.
+    """
     m = mentions.where("entity_id is not null").groupBy("chunk", "entity_id").agg(F.min("entity_type").alias("entity_type"))
-    pair = baskets.pairs(m, "chunk", "entity_id", "entity_type").withColumnsRenamed({"basket": "chunk", "entity_type_a": "ta", "entity_type_b": "tb"})
-    table = F.create_map(*[F.lit(x) for k, v in RELATION_BY_TYPES.items() for x in (">".join(k), v)])
-    straight, turned = F.try_element_at(table, F.concat_ws(">", "ta", "tb")), F.try_element_at(table, F.concat_ws(">", "tb", "ta"))
-    named = pair.select("chunk", F.when(straight.isNull() & turned.isNotNull(), F.col("b")).otherwise(F.col("a")).alias("source"), F.when(straight.isNull() & turned.isNotNull(), F.col("a")).otherwise(F.col("b")).alias("target"), F.coalesce(straight, turned, F.lit("RELATED_TO")).alias("relation_type"))
-    return named.groupBy("source", "target", "relation_type").agg(F.count_distinct("chunk").alias("chunks")).withColumn("confidence", F.lit(confidence))
+    said = sorted({w for rule in RELATION_RULES.values() for step in rule if not isinstance(step, str) for w in step[0]})
+    if chunks is not None:  # the words found go with the mentions, not the texts
+        words = F.filter(F.array(*[F.lit(w) for w in said]), lambda w: F.contains("content", w))
+        m = m.join(chunks.select("chunk", words.alias("said")), "chunk", "left")
+    else:
+        m = m.withColumn("said", F.array().cast("array<string>"))
+    pair = baskets.pairs(m, "chunk", "entity_id", "entity_type", "said")
+    kind = F.lit("RELATED_TO")
+    for (s, t), rule in RELATION_RULES.items():
+        fits = ((F.col("entity_type_a") == s) & (F.col("entity_type_b") == t)) | ((F.col("entity_type_a") == t) & (F.col("entity_type_b") == s))
+        told = F.lit(rule[-1])
+        for known, name in reversed(rule[:-1]):
+            told = F.when(F.arrays_overlap("said_a", F.array(*[F.lit(w) for w in known])), name).otherwise(told)
+        kind = F.when(fits, told).otherwise(kind)
+    named = pair.select(F.col("basket").alias("chunk"), F.col("a").alias("source"), F.col("b").alias("target"), kind.alias("relation_type"))
+    return named.groupBy("source", "target", "relation_type").agg(F.count(F.lit(1)).alias("chunks")).withColumn("confidence", F.lit(confidence))
 
 
 def inferred_relations(mentions: DataFrame, target: str, least: float = 0.3, k: int = 10) -> DataFrame:
@@ -166,6 +183,122 @@ def linked_clusters(entities: DataFrame, least: float = 0.85) -> DataFrame:
     return rows.join(best, "cluster").select("id", "cluster", "canonical")
 
 
+def linked(entities: DataFrame, strategy: str = "fuzzy", least: float = 0.85, least_cosine: float = 0.9) -> DataFrame:
+    """``(id, cluster)`` of entities (id, name, entity_type, confidence and, where vectors count, embedding).
+
+    ``exact``: one name without case, and type.  ``fuzzy``: connected by
+    ``link_pairs``.  ``semantic``: connected by a cosine of at least
+    ``least_cosine`` among the ten nearest.  ``hybrid``: connected by any of the three.
+    """
+    if strategy not in ("exact", "fuzzy", "semantic", "hybrid"):
+        raise ValueError(f"{strategy!r} is no strategy of linking")
+    edges = []
+    if strategy in ("exact", "hybrid"):
+        first = entities.groupBy(F.lower("name").alias("k"), "entity_type").agg(F.min("id").alias("a"))
+        edges.append(entities.select("id", F.lower("name").alias("k"), "entity_type").join(first, ["k", "entity_type"]).where("id != a").select("a", F.col("id").alias("b")))
+    if strategy in ("fuzzy", "hybrid"):
+        edges.append(link_pairs(entities, least).select("a", "b"))
+    if strategy == "semantic" or strategy == "hybrid" and "embedding" in entities.columns:
+        from graphmill.operators.search import knn
+
+        near = knn(entities, entities.select(F.col("id").alias("query_id"), F.col("embedding").alias("query_vector")), 11, "id", "embedding", least=least_cosine)
+        edges.append(near.where("query_id != id").select(F.col("query_id").alias("a"), F.col("id").alias("b")))
+    every = edges[0]
+    for e in edges[1:]:
+        every = every.unionByName(e)
+    parts = connected_components(every, "a", "b").withColumnRenamed("node", "id")
+    return entities.select("id").distinct().join(parts, "id", "left").select("id", F.coalesce("component", "id").alias("cluster"))
+
+
+def link_new(entities: DataFrame, clusters: DataFrame) -> DataFrame:
+    """``(id, cluster, known)``: new entities (id, name) put into the cluster (cluster, name) of exactly their name, or one of their own.
+
+    Of several clusters with a name the smallest counts; new entities of one name share a new cluster.
+    """
+    known = clusters.groupBy("name").agg(F.min("cluster").alias("cluster"))
+    own = entities.groupBy("name").agg(F.min("id").alias("first"))
+    both = entities.join(known, "name", "left").join(own, "name", "left")
+    return both.select("id", F.coalesce("cluster", F.concat(F.lit("new_"), F.coalesce("first", "id"))).alias("cluster"), F.col("cluster").isNotNull().alias("known"))
+
+
+def merge_decisions(members: DataFrame, least: float = 0.8) -> DataFrame:
+    """``(group_id, members, merge, confidence, name)`` of groups of alike entities (group_id, id, name, entity_type, confidence).
+
+    A group is merged if it has two members or more, all of one type, whose
+    names are on average more than ``least`` alike (equal 1, one holding the
+    other 0.9, else the share of common words).  Its name is the longest, of
+    these the one of the highest confidence, then the first.
+    """
+    rows = members.where("name is not null").select("group_id", "id", "name", "entity_type", "confidence").dropDuplicates(["group_id", "id"])
+    low = rows.withColumn("low", F.lower("name"))
+    pair = baskets.pairs(low, "group_id", "id", "low")
+    same, holds = F.col("low_a") == F.col("low_b"), F.contains("low_a", F.col("low_b")) | F.contains("low_b", F.col("low_a"))
+    alike = F.when(same, 1.0).when(holds, 0.9).otherwise(jaccard("low_a", "low_b", 0.0))
+    likeness = pair.groupBy(F.col("basket").alias("group_id")).agg(F.avg(alike).alias("likeness"))
+    g = rows.groupBy("group_id").agg(F.count(F.lit(1)).alias("members"), F.count_distinct(F.coalesce("entity_type", F.lit(""))).alias("types"), F.max_by("name", F.struct(F.octet_length("name"), F.coalesce("confidence", F.lit(0.0)), "name")).alias("name"))
+    both = g.join(likeness, "group_id", "left")
+    merge = (F.col("members") > 1) & (F.col("types") == 1) & (F.coalesce("likeness", F.lit(0.0)) > least)
+    sure = F.when(merge, F.col("likeness")).when((F.col("members") < 2) | (F.col("types") > 1), 1.0).otherwise(1 - F.col("likeness"))
+    return both.select("group_id", "members", merge.alias("merge"), sure.alias("confidence"), F.when(merge, F.col("name")).alias("name"))
+
+
+def fit_for_use(entities: DataFrame, least: float = 0.3, shortest: int = 2) -> DataFrame:
+    """Entities of some confidence whose name is not blank and has ``shortest`` bytes or more."""
+    return entities.where((F.col("confidence") >= least) & (F.octet_length("name") >= shortest) & F.col("name").rlike(r"\S"))
+
+
+# ---------------------------------------------------------------- facts
+
+
+def facts_to_graph(facts: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Entities and relations of atomic facts (chunk, subject, predicate, object, temporal_marker, confidence).
+
+    entities(id, name, entity_type, confidence, first_mentioned, last_mentioned);
+    relations(source, target, relation_type, confidence, chunk, start_time,
+    end_time, temporal_type, causal_strength).  Ids are names in lower case with
+    ``_`` for blanks; the type is guessed from the name's form.
+    """
+    from graphmill.functions.text import fact_time
+
+    key = lambda c: F.regexp_replace(F.regexp_replace(F.lower(F.trim(c)), " ", "_"), r"[^\p{L}\p{N}_]", "")
+    at = F.when(F.col("temporal_marker").isNotNull(), fact_time("temporal_marker"))
+    f = facts.where("subject is not null and object is not null and predicate is not null").withColumn("at", at)
+    low = F.lower("name")
+    kind = F.when(F.col("name").rlike(r"^\p{Lu}"), F.when(low.rlike("(?:ia|land|istan)$"), "LOCATION").otherwise("PERSON")).when(F.col("name").rlike("[0-9]"), "DATE").otherwise("CONCEPT")
+    ends = f.select(F.explode(F.array("subject", "object")).alias("name"), "confidence", "at").withColumn("id", key("name"))
+    merged = ends.groupBy("id").agg(F.min("name").alias("name"), F.max("confidence").alias("confidence"), F.min("at").alias("first_mentioned"), F.max("at").alias("last_mentioned"))
+    said = F.lower("predicate")
+    caused = F.contains(said, F.lit("caused")) | F.contains(said, F.lit("led to"))
+    enabled = F.contains(said, F.lit("enabled")) | F.contains(said, F.lit("allowed"))
+    timed = F.col("at").isNotNull()
+    relations = f.select(
+        key("subject").alias("source"), key("object").alias("target"), F.upper("predicate").alias("relation_type"), "confidence", "chunk", F.col("at").alias("start_time"), F.col("at").alias("end_time"),
+        F.when(timed & caused, "Caused").when(timed & enabled, "Enabled").alias("temporal_type"),
+        F.when(timed & caused, F.col("confidence")).when(timed & enabled, F.col("confidence") * 0.6).alias("causal_strength"),
+    )
+    return merged.select("id", "name", kind.alias("entity_type"), "confidence", "first_mentioned", "last_mentioned"), relations
+
+
+def validated_triples(triples: DataFrame, chunks: DataFrame, model=None) -> DataFrame:
+    """``triples`` (source, relation_type, target, chunk) with ``valid`` and ``reason``.
+
+    ``chunks``: chunk, content.  A model is asked about each triple and its text
+    and answers yes or no; without one a triple is valid if the text holds both names.
+    """
+    both = triples.join(chunks.select("chunk", "content"), "chunk", "left")
+    low = F.lower(F.coalesce("content", F.lit("")))
+    holds = lambda c: F.contains(low, F.lower(F.coalesce(c, F.lit(""))))
+    whole = F.col("source").isNotNull() & F.col("target").isNotNull()
+    reason = F.when(~whole, "no end").when(~holds("source"), "source not in text").when(~holds("target"), "target not in text")
+    if model is not None:
+        from graphmill.models import generate
+
+        prompt = F.concat_ws("\n", F.lit("Does the text say this? Answer yes or no."), F.concat_ws(" ", "source", "relation_type", "target"), F.col("content"))
+        both = both.withColumn("_said", generate(prompt, model))
+        reason = F.when(~whole, "no end").when(~F.lower(F.trim("_said")).startswith("yes"), "model says no")
+    return both.select(*triples.columns, reason.isNull().alias("valid"), reason.alias("reason"))
+
+
 def best_match(mentions: DataFrame, candidates: DataFrame) -> DataFrame:
     """``(mention, id, similarity)``: the candidate most like each mention among those of its type that share a word."""
     word = lambda df, c: df.withColumn("w", F.explode(F.array_distinct(F.split(normalize_for_linking(c), " "))))

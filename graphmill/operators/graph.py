@@ -109,6 +109,32 @@ def neighbours(edges: DataFrame, nodes: DataFrame, relation: str | None = None,
     return out.distinct()
 
 
+# ---------------------------------------------------------------- trees
+
+
+def ancestors(tree: DataFrame, nodes: DataFrame, most: int = 100) -> DataFrame:
+    """``(node, ancestor, distance)`` in a tree ``(node, parent)``; deeper trees than ``most`` are an error."""
+    up = tree.where("parent is not null").select("node", "parent").distinct()
+    ring = materialize(nodes.select("node").distinct().join(up, "node").select("node", F.col("parent").alias("ancestor"), F.lit(1).alias("distance")), "ancestors")
+    out = ring
+    for n in range(2, most + 1):
+        ring = materialize(ring.join(up.select(F.col("node").alias("ancestor"), F.col("parent").alias("next")), "ancestor").select("node", F.col("next").alias("ancestor"), F.lit(n).alias("distance")), "ancestors")
+        if ring.isEmpty():
+            return out
+        out = out.unionByName(ring)
+    raise RuntimeError(f"the tree is deeper than {most}")
+
+
+def descendants(tree: DataFrame, nodes: DataFrame, most: int = 100) -> DataFrame:
+    """``(node, descendant, distance)``."""
+    turned = tree.where("parent is not null").select(F.col("parent").alias("node"), F.col("node").alias("parent"))
+    return ancestors(turned, nodes, most).withColumnRenamed("ancestor", "descendant")
+
+
+def roots(tree: DataFrame) -> DataFrame:
+    return tree.where("parent is null").select("node").distinct()
+
+
 # ---------------------------------------------------------------- shape
 
 
@@ -248,6 +274,26 @@ def pagerank(edges: DataFrame, seeds: DataFrame | None = None, damping: float =
     return rank.select("node", (F.col("score") / (seen["total"] or 1.0)).alias("score"))
 
 
+def updated_pagerank(edges: DataFrame, scores: DataFrame, changed: DataFrame, damping: float = 0.85, iterations: int = 100, tolerance: float = 1e-6, hops: int = 2, most_changed: int | None = None) -> DataFrame:
+    """``(node, score)`` after a change: only nodes within ``hops`` of the ``changed`` ones are computed again, from their old scores.
+
+    Among the affected nodes scores flow along the edges they have with each
+    other; what the others hold stays, and the affected share what they held
+    together before, new nodes 1 / n each.  With more than ``most_changed``
+    changed nodes all is computed anew.
+    """
+    if most_changed is not None and changed.limit(most_changed + 1).count() > most_changed:
+        return pagerank(edges, damping=damping, iterations=iterations, tolerance=tolerance)
+    near = materialize(reach(edges, changed, hops).select("node"), "affected")
+    nodes = oriented(edges.select("source", "target")).select(F.col("source").alias("node")).unionByName(scores.select("node")).distinct()
+    n = nodes.count()
+    before = materialize(nodes.join(scores, "node", "left").select("node", F.coalesce("score", F.lit(1.0 / max(n, 1))).alias("score")), "scores")
+    held = before.join(near, "node", "left_semi").agg(F.sum("score")).first()[0] or 0.0
+    inner = pagerank(ego_edges(edges, near), damping=damping, iterations=iterations, tolerance=tolerance, nodes=near)
+    fresh = near.join(inner, "node", "left").select("node", (F.coalesce("score", F.lit(0.0)) * held).alias("score"))
+    return before.join(near, "node", "left_anti").unionByName(fresh)
+
+
 def combine_scores(lists: dict[str, tuple[DataFrame, float]]) -> DataFrame:
     """``(node, score)``: weighted sum of several ``(node, score)`` tables; a missing score is 0."""
     parts = [df.select("node", (F.col("score") * weight).alias("score")) for df, weight in lists.values()]
