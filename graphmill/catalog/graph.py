@@ -120,10 +120,17 @@ def closeness(spark, sf):
     return graph.closeness(star(spark, sf), r).select("node", F.round("closeness", 6).alias("closeness"))
 
 
-@query()
+def _doubled(rounds: int) -> str:
+    """Least distances of all pairs by paths of 2, 4, 8 … edges."""
+    steps = ["d0 AS (SELECT a, b, min(w) AS d FROM (SELECT a, b, 1.0 / weight AS w FROM u UNION ALL SELECT DISTINCT a, a, 0.0 FROM u) GROUP BY 1, 2)"]
+    return ", ".join(steps + [f"d{i + 1} AS (SELECT x.a, y.b, min(x.d + y.d) AS d FROM d{i} x JOIN d{i} y ON x.b = y.a GROUP BY 1, 2)" for i in range(rounds)])
+
+
+@query(f"""WITH {_M}, {_doubled(5)}, i AS (SELECT x.b AS node, count(*) AS k FROM d5 p JOIN d5 x ON x.a = p.a JOIN d5 y ON y.a = x.b AND y.b = p.b WHERE x.b <> p.a AND x.b <> p.b AND p.a <> p.b AND abs(x.d + y.d - p.d) < 1e-12 GROUP BY 1), n AS (SELECT count(DISTINCT a) AS n FROM u)
+SELECT CAST(v.a AS VARCHAR) AS node, round(coalesce(k, 0) / greatest((n - 1) * (n - 2) / 2, 1), 6) AS betweenness FROM (SELECT DISTINCT a FROM u) v LEFT JOIN i ON i.node = v.a, n""")
 def betweenness(spark, sf):
     e = mesh(spark, sf).select(F.col("source").cast("string").alias("source"), F.col("target").cast("string").alias("target"), (1 / F.col("weight")).alias("weight"))
-    return graph.betweenness(e, e.select(F.col("source").alias("node")).unionByName(e.select(F.col("target").alias("node"))).distinct())
+    return graph.betweenness(e, e.select(F.col("source").alias("node")).unionByName(e.select(F.col("target").alias("node"))).distinct()).withColumn("betweenness", F.round("betweenness", 6))
 
 
 @query(f"""WITH {_E}, a AS (SELECT source AS n FROM e UNION SELECT target FROM e), one AS (SELECT DISTINCT source AS n FROM e WHERE source LIKE 'S%' AND target = 'N1'),
@@ -133,6 +140,15 @@ def neighbours_k(spark, sf):
     return graph.neighbours(e, e.where("target = 'N1' and source like 'S%'").select(F.col("source").alias("node")), None, 2)
 
 
+def rank_steps(rounds: int, reset: str, damping: float = 0.85) -> str:
+    """``a`` (nodes), ``o`` (sums of weights) and ``r0`` … of the edges ``e`` (source, target, weight); ``reset`` speaks of a.n."""
+    steps = ["a AS (SELECT source AS n FROM e UNION SELECT target FROM e), o AS (SELECT source, sum(weight) AS t FROM e GROUP BY 1), r0 AS (SELECT n, 1.0::DOUBLE / (SELECT count(*) FROM a) AS s FROM a)"]
+    for i in range(rounds):
+        steps.append(f"""r{i + 1} AS (SELECT a.n, {1 - damping} * {reset} + {damping} * (coalesce(g.s, 0) + (SELECT coalesce(sum(s), 0) FROM r{i} WHERE n NOT IN (SELECT source FROM o)) / (SELECT count(*) FROM a)) AS s
+FROM a LEFT JOIN (SELECT target, sum(r.s * e.weight / o.t) AS s FROM e JOIN o ON o.source = e.source JOIN r{i} r ON r.n = e.source GROUP BY 1) g ON g.target = a.n)""")
+    return ", ".join(steps)
+
+
 def _pagerank_sql(rounds: int, reset: str) -> str:
     steps = [f"r0 AS (SELECT n, 1.0::DOUBLE / (SELECT count(*) FROM a) AS s FROM a)"]
     for i in range(rounds):
@@ -157,9 +173,16 @@ def communities(spark, sf):
     return graph.communities(mesh(spark, sf).select(F.col("source").cast("string").alias("source"), F.col("target").cast("string").alias("target"), "weight"))
 
 
-@query()
+_PLACE = "p AS (SELECT 'N' || n_nationkey AS node, n_name AS name, 'NATION' AS t, 'R' || n_regionkey AS c FROM nation UNION ALL SELECT 'S' || s_suppkey, s_name, 'SUPPLIER', 'R' || n_regionkey FROM supplier JOIN nation ON s_nationkey = n_nationkey)"
+
+
+@query(f"""WITH {_PLACE}, r AS (SELECT *, row_number() OVER (PARTITION BY c, t ORDER BY name, node) AS r FROM p), g AS (SELECT c, t, count(*) AS n, t || ': ' || string_agg(name, ', ' ORDER BY name) FILTER (r <= 5) || CASE WHEN count(*) > 5 THEN ' and ' || (count(*) - 5) || ' more' ELSE '' END AS line FROM r GROUP BY 1, 2)
+SELECT c AS community, CAST(sum(n) AS BIGINT) AS members, left(string_agg(line, '; ' ORDER BY t), 500) AS summary FROM g GROUP BY 1""")
 def community_summaries(spark, sf):
-    label = graph.communities(star(spark, sf))
+    """The nations and suppliers of each region as a community."""
+    steps = star(spark, sf).select("source", "target")
+    nations = steps.where("target like 'R%'").select(F.col("source").alias("node"), F.col("target").alias("community"))
+    label = nations.unionByName(steps.where("source like 'S%'").select(F.col("source").alias("s"), F.col("target").alias("node")).join(nations, "node").select(F.col("s").alias("node"), "community"))
     n = table(spark, sf, "nation").select(F.concat(F.lit("N"), F.col("n_nationkey").cast("string")).alias("id"), F.col("n_name").alias("name"), F.lit("NATION").alias("entity_type"))
     s = table(spark, sf, "supplier").select(F.concat(F.lit("S"), F.col("s_suppkey").cast("string")).alias("id"), F.col("s_name").alias("name"), F.lit("SUPPLIER").alias("entity_type"))
     return graph.community_summary(label, n.unionByName(s))
@@ -170,12 +193,17 @@ def adjacency(spark, sf):
     return graph.adjacency(star(spark, sf)).select("source", "target", F.round("weight", 6).alias("weight"))
 
 
-@query()
+@query(f"""WITH c AS (SELECT DISTINCT id, e AS entity FROM (SELECT id, unnest(entities) AS e FROM text_chunks) WHERE e IS NOT NULL),
+f AS (SELECT min(entity_key) AS s, max(entity_key) AS t, avg(confidence::DOUBLE) AS score FROM extracted_entities WHERE entity_key IS NOT NULL AND chunk_id IS NOT NULL AND confidence IS NOT NULL GROUP BY chunk_id HAVING min(entity_key) <> max(entity_key)),
+k AS (SELECT entity, count(DISTINCT id) AS k FROM c GROUP BY 1), w AS (SELECT x.n AS node, avg(score / k) AS w FROM (SELECT s AS n, score FROM f UNION ALL SELECT t, score FROM f) x JOIN k ON k.entity = x.n GROUP BY 1 UNION ALL SELECT DISTINCT id, 0.5 * 0.05 FROM c),
+seed AS (SELECT node, max(w) / (SELECT sum(w) FROM w) AS w FROM w GROUP BY 1), one AS (SELECT entity AS source, id AS target FROM c UNION ALL SELECT s, t FROM f), e AS (SELECT source, target, count(*) AS weight FROM (SELECT * FROM one UNION ALL SELECT target, source FROM one) GROUP BY 1, 2),
+{rank_steps(5, "coalesce((SELECT w FROM seed WHERE node = a.n), 0)", 0.5)}
+SELECT n AS node, round(s / (SELECT sum(s) FROM r5), 7) AS score FROM r5 WHERE n IN (SELECT id FROM c)""")
 def passage_ranking(spark, sf):
     c = table(spark, sf, "text_chunks").select("id", F.explode("entities").alias("entity")).where("entity is not null").distinct()
     facts = table(spark, sf, "extracted_entities").where("entity_key is not null and chunk_id is not null and confidence is not null").groupBy("chunk_id").agg(F.min("entity_key").alias("subject"), F.max("entity_key").alias("object"), F.avg("confidence").alias("score")).where("subject != object").select("subject", "object", "score")
     sim = c.select(F.col("id").alias("passage")).distinct().withColumn("score", F.lit(0.5))
-    return graph.passage_ranking(facts, c.select("entity", F.col("id").alias("passage")), sim, iterations=5)
+    return graph.passage_ranking(facts, c.select("entity", F.col("id").alias("passage")), sim, iterations=5).withColumn("score", F.round("score", 7))
 
 
 @query()
@@ -183,9 +211,19 @@ def node_walks(spark, sf):
     return graph.random_walks(star(spark, sf), 5, 1, 0.5, 2.0).select("walk", F.array_join("path", ">").alias("path"))
 
 
-@query()
+def _layers(n: int) -> str:
+    steps = []
+    for i in range(n):
+        steps.append(f"""m{i} AS (SELECT f.node, f.pos, CASE WHEN g.x IS NULL THEN f.x ELSE (f.x + g.x) / 2 END AS x FROM f{i} f LEFT JOIN (SELECT v.source AS node, pos, avg(x) AS x FROM v JOIN f{i} y ON y.node = v.target GROUP BY 1, 2) g ON g.node = f.node AND g.pos = f.pos),
+f{i + 1} AS (SELECT node, pos, x / sqrt(sum(x * x) OVER (PARTITION BY node)) AS x FROM m{i})""")
+    return ", ".join(steps)
+
+
+@query(f"""WITH {_E}, v AS (SELECT DISTINCT source, target FROM (SELECT source, target FROM e UNION ALL SELECT target, source FROM e) WHERE source <> target), k AS (SELECT DISTINCT source AS node, CAST(substr(source, 2) AS INT) AS k FROM v),
+f0 AS (SELECT node, pos, CAST(x[pos + 1] AS DOUBLE) AS x FROM (SELECT node, [length(node), k % 7, k % 11, 1] AS x FROM k), range(0, 4) t(pos)), {_layers(2)} SELECT node, pos, round(x, 6) AS value FROM f2""")
 def neighbour_features(spark, sf):
     e = star(spark, sf)
-    n = e.select(F.col("source").alias("node")).unionByName(e.select(F.col("target").alias("node"))).distinct()
-    f = n.select("node", F.array(*[F.pmod(F.xxhash64("node", F.lit(i)), F.lit(1000)) / 1000.0 for i in range(4)]).alias("vector"))
-    return graph.neighbour_features(e, f)
+    n = graph.oriented(e.select("source", "target")).select(F.col("source").alias("node")).distinct()
+    k = F.substring("node", 2, 9).cast("int")
+    f = n.select("node", F.array(*[x.cast("double") for x in (F.length("node"), k % 7, k % 11, F.lit(1))]).alias("vector"))
+    return graph.neighbour_features(e, f).select("node", F.posexplode("vector").alias("pos", "x")).select("node", "pos", F.round("x", 6).alias("value"))

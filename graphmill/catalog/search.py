@@ -216,9 +216,11 @@ def cross_strategy(spark, sf):
     return search.across_types(_results(spark, sf)).select("query_id", "content_key", F.round("score", 6).alias("score"))
 
 
-@query()
+@query(f"""WITH {_RES}, r AS (SELECT res.query_id, res.id, res.score, string_split(d.title, ' ') AS es, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS r FROM res JOIN documents d ON d.doc_id = res.id),
+n AS (SELECT DISTINCT query_id, k FROM (SELECT query_id, e, min(r) AS k FROM (SELECT query_id, r, unnest(es) AS e FROM r) GROUP BY 1, 2)), m AS (SELECT r.*, score > 0.8 OR k IS NOT NULL OR r <= 5 AS fine FROM r LEFT JOIN n ON n.query_id = r.query_id AND n.k = r.r)
+SELECT query_id, id, round(score, 6) AS score FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY fine DESC, r) AS p FROM m) WHERE p <= 10""")
 def diverse_selection(spark, sf):
-    return search.diverse(_results(spark, sf), 10).select("query_id", "id", "score")
+    return search.diverse(_results(spark, sf), 10).select("query_id", "id", F.round("score", 6).alias("score"))
 
 
 @query(f"""WITH {_BM25} SELECT query_id, round(greatest(0, least(1, 0.7 * avg(score) + 0.3)), 6) AS confidence FROM bm GROUP BY 1""")
@@ -231,7 +233,8 @@ def name_search(spark, sf):
     return search.substring_search(table(spark, sf, "customer"), "Customer#00000001", "c_custkey", "c_name")
 
 
-@query()
+@query("""WITH c AS (SELECT DISTINCT ON (id) id, keywords, chapter FROM text_chunks ORDER BY id)
+SELECT id, round(least(0.5 + 0.2 * len(list_intersect(list_transform(coalesce(keywords, []), lambda k: lower(k)), ['record', 'chapter', 'silent'])) / 3 + CASE WHEN regexp_matches(lower(coalesce(chapter, '')), 'record|chapter|silent') THEN 0.15 ELSE 0 END, 1.0), 6) AS score FROM c""")
 def metadata_boost(spark, sf):
     c = table(spark, sf, "text_chunks").select(F.lit("q").alias("query_id"), "id", F.lit(0.5).alias("score"), "keywords", "chapter").dropDuplicates(["id"])
     return search.boosted_by_metadata(c, ["record", "chapter", "silent"]).select("id", F.round("score", 6).alias("score"))

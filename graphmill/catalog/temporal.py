@@ -107,7 +107,7 @@ def as_of_join(spark, sf):
     return temporal.as_of(e.where("event_type = 'purchase'").select("event_id", "user_id", "ts"), views, ["user_id"], "ts", "ts", ["value"]).select("event_id", "as_of_value")
 
 
-@query()
+@query("""SELECT 'A>B>C' AS path, 2 AS edges, 0.9 * 0.95 * 0.8 * 0.7 AS confidence, 50 AS span""")
 def causal_chains(spark, sf):
     rows = [("A", "B", "caused", 0.9, "Caused", 100, 0.9), ("B", "C", "LED_TO", 0.8, None, 150, None), ("A", "C", "knows", 0.9, None, 120, None), ("C", "D", "enabled", 0.7, "Enabled", 90, 0.6)]
     r = spark.createDataFrame(rows, "source string, target string, relation_type string, confidence double, temporal_type string, start_time bigint, causal_strength double")
