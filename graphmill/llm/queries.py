@@ -152,7 +152,28 @@ total AS (SELECT count(DISTINCT id) AS n FROM item),
 pair AS (SELECT x.e AS entity_a, y.e AS entity_b, count(*) AS n_ab FROM item x JOIN item y ON x.id = y.id AND x.e < y.e GROUP BY 1, 2)
 """
 
+#: Distinct contents of 10 words or more with their shingles, and the pairs of them that are similar.
+_NEAR = """
+txt AS (SELECT content, min(id) AS h FROM document_metadata WHERE content IS NOT NULL AND id IS NOT NULL GROUP BY 1),
+doc AS (SELECT h, list_transform(regexp_extract_all(content, '[\\p{L}\\p{N}]+'), lambda w: lower(w)) AS w FROM txt),
+sh AS (SELECT DISTINCT h, s FROM (SELECT h, unnest(list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2])) AS s FROM doc WHERE len(w) >= 10)),
+n AS (SELECT h, count(*) AS n FROM sh GROUP BY 1), c AS (SELECT x.h AS a, y.h AS b, count(*) AS c FROM sh x JOIN sh y ON x.s = y.s AND x.h <> y.h GROUP BY 1, 2),
+near AS (SELECT a, b FROM c JOIN n x ON x.h = a JOIN n y ON y.h = b WHERE c >= 0.5 * (x.n + y.n - c))"""
+
 SQL: dict[str, str] = {
+    "p1_groups": f"""WITH RECURSIVE {_NEAR}, r AS (SELECT h AS node, h AS c FROM n UNION SELECT near.b, r.c FROM r JOIN near ON near.a = r.node), g AS (SELECT node, min(c) AS c FROM r GROUP BY 1),
+m AS (SELECT DISTINCT id, h FROM document_metadata JOIN txt USING (content) WHERE id IS NOT NULL), k AS (SELECT a, count(*) AS links FROM near GROUP BY 1),
+x AS (SELECT m.id, g.c, coalesce(links, 0) AS links FROM m JOIN g ON g.node = m.h LEFT JOIN k ON k.a = m.h) SELECT id, min(id) OVER (PARTITION BY c) AS group_id, links FROM x""",
+    "p5_found": f"""WITH RECURSIVE {_NEAR}, ids AS (SELECT id, min(batch_no) AS batch, arg_min(content, batch_no) AS content FROM document_metadata WHERE id IS NOT NULL AND batch_no IS NOT NULL GROUP BY 1),
+i AS (SELECT ids.*, txt.h, 'hash_' || left(sha256(ids.content), 16) AS proper FROM ids JOIN txt USING (content) WHERE regexp_matches(ids.content, '[^\\s\\x{{0b}}\\x{{1c}}-\\x{{1f}}\\x{{85}}\\x{{a0}}\\x{{1680}}\\x{{2000}}-\\x{{200a}}\\x{{2028}}\\x{{2029}}\\x{{202f}}\\x{{205f}}\\x{{3000}}]')),
+old AS (SELECT DISTINCT h FROM i WHERE batch < 1), known AS (SELECT DISTINCT id FROM i JOIN document_index d ON d.content_hash = i.proper AND d.document_id <> i.id),
+f AS (SELECT h, min((batch, id)) AS first FROM i WHERE batch >= 1 AND id NOT IN (SELECT id FROM known) AND h NOT IN (SELECT h FROM old) GROUP BY 1),
+o AS (SELECT h, row_number() OVER (ORDER BY first) AS k, h IN (SELECT a FROM near WHERE b IN (SELECT h FROM old)) AS gone FROM f),
+e AS (SELECT x.k AS later, list(y.k) AS before FROM near JOIN o x ON x.h = near.a JOIN o y ON y.h = near.b AND y.k < x.k GROUP BY 1),
+q AS (SELECT o.k, o.gone, coalesce(before, []) AS before FROM o LEFT JOIN e ON e.later = o.k),
+w AS (SELECT 0::BIGINT AS k, []::BIGINT[] AS taken UNION ALL SELECT q.k, CASE WHEN q.gone OR list_has_any(q.before, w.taken) THEN w.taken ELSE list_append(w.taken, q.k) END FROM w JOIN q ON q.k = w.k + 1),
+good AS (SELECT h, first FROM f JOIN o USING (h) WHERE k IN (SELECT unnest(taken) FROM w WHERE k = (SELECT max(k) FROM w)))
+SELECT id FROM i LEFT JOIN good USING (h) WHERE batch >= 1 AND (id IN (SELECT id FROM known) OR good.h IS NULL OR (batch, id) <> good.first)""",
     "p1_found": """
 WITH doc AS (SELECT DISTINCT id, list_transform(regexp_extract_all(content, '[\\p{L}\\p{N}]+'), lambda w: lower(w)) AS w FROM document_metadata),
 sh AS (SELECT DISTINCT id, s FROM (SELECT id, unnest(list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2])) AS s FROM doc WHERE len(w) >= 10)),
