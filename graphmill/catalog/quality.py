@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from graphmill.catalog.graph import _E, star
 from graphmill.catalog.search import _BM25, _bm25
+from graphmill.catalog.text import _U
 from graphmill.functions import measures, text, vector
 from graphmill.operators import chunking, quality
 from graphmill.operators.bloom import Bloom
@@ -160,7 +161,11 @@ def _chunker(name):
 sized_chunks, topic_chunks, hybrid_chunks, coherent_chunks = (_chunker(n) for n in ("sized", "topic", "hybrid", "coherent"))
 
 
-@query()
+@query(f"""WITH RECURSIVE d AS (SELECT doc_id, text AS t, length(text) AS n FROM documents WHERE text IS NOT NULL), p AS (SELECT doc_id, n, unnest(ps) AS p, generate_subscripts(ps, 1) AS i FROM (SELECT doc_id, n, string_split(t, chr(10) || chr(10)) AS ps FROM d WHERE n > 4000)),
+o AS (SELECT doc_id, i, CAST(sum(length(p) + 2) OVER (PARTITION BY doc_id ORDER BY i) - length(p) - 2 AS BIGINT) AS a, CAST(sum(length(p) + 2) OVER (PARTITION BY doc_id ORDER BY i) - 2 AS BIGINT) AS b FROM p),
+g AS (SELECT doc_id, i, a AS s, b FROM o WHERE i = 1 UNION ALL SELECT o.doc_id, o.i, CASE WHEN o.b - g.s <= 4000 THEN g.s ELSE o.a END, o.b FROM g JOIN o ON o.doc_id = g.doc_id AND o.i = g.i + 1),
+x AS (SELECT doc_id, s, max(b) AS e FROM g GROUP BY 1, 2 UNION ALL SELECT doc_id, 0, n FROM d WHERE n <= 4000), y AS (SELECT x.doc_id, s, e, substr(t, s + 1, e - s) AS content FROM x JOIN d ON d.doc_id = x.doc_id)
+SELECT doc_id, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY s) - 1 AS INT) AS seq, s AS start_offset, e AS end_offset, content FROM y WHERE regexp_matches(content, '[^{_U}]')""")
 def late_chunk_sections(spark, sf):
     return chunking.per_row(table(spark, sf, "documents"), "doc_id", "text", lambda t: chunking.late_sections(t, 4000), chunking.CHUNK)
 

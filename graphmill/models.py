@@ -86,7 +86,7 @@ def gleaned(chunks: DataFrame, id_col: str, text_col: str, model: Model = patter
 
 def titled_context(prompts: list[str]) -> list[str]:
     """Stands in for a model that says where a chunk belongs: the first line of its document."""
-    return [f"From: {(re.findall(r'(?m)^[#> ]*(.*[^ #>].*)$', p.split('Chunk:')[0].removeprefix('Document:')) or [''])[0].strip()}" for p in prompts]
+    return [f"From: {(re.findall(r'(?m)^[#> ]*(.*[^ #>\n].*)$', p.split('Chunk:')[0].removeprefix('Document:')) or [''])[0].strip()}" for p in prompts]
 
 
 def contextualised(chunks: DataFrame, documents: DataFrame, model: Model = titled_context) -> DataFrame:

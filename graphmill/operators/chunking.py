@@ -291,12 +291,14 @@ def late_sections(text: str, most: int) -> list[tuple]:
     """Runs of whole paragraphs of at most ``most`` characters, for a model that reads a section at once; one longer paragraph stays whole."""
     if len(text) <= most:
         return [(0, 0, len(text), text)] if text.strip() else []
-    out: list[list[int]] = []
-    for m in re.finditer(r"(?s)(?:(?!\n\n).)+", text):
-        if out and m.end() - out[-1][0] <= most:
-            out[-1][1] = m.end()
+    out, at = [], 0
+    for part in text.split("\n\n"):
+        end = at + len(part)
+        if out and end - out[-1][0] <= most:
+            out[-1][1] = end
         else:
-            out.append([m.start(), m.end()])
+            out.append([at, end])
+        at = end + 2
     return [(i, a, b, text[a:b]) for i, (a, b) in enumerate((a, b) for a, b in out if text[a:b].strip())]
 
 

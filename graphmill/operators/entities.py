@@ -247,6 +247,18 @@ def fit_for_use(entities: DataFrame, least: float = 0.3, shortest: int = 2) -> D
     return entities.where((F.col("confidence") >= least) & (F.octet_length("name") >= shortest) & F.col("name").rlike(r"\S"))
 
 
+# ---------------------------------------------------------------- index of mentions
+
+
+def merged_index(one: DataFrame, other: DataFrame, gone_entities: DataFrame | None = None, gone_chunks: DataFrame | None = None) -> DataFrame:
+    """``(entity_id, chunk)`` of two indexes, each mapping once, without those of removed entities (entity_id) or chunks (chunk)."""
+    both = one.select("entity_id", "chunk").unionByName(other.select("entity_id", "chunk")).distinct()
+    for gone, key in ((gone_entities, "entity_id"), (gone_chunks, "chunk")):
+        if gone is not None:
+            both = both.join(gone.select(key), key, "left_anti").select("entity_id", "chunk")
+    return both
+
+
 # ---------------------------------------------------------------- facts
 
 

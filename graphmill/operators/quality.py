@@ -48,6 +48,37 @@ def rolling(runs: DataFrame, order: list[str], metric: str, last: int = 10, by:
     return runs.withColumn("rolling", F.avg(metric).over(w))
 
 
+def stagnation(runs: DataFrame, order: str, metric: str, last: int = 5, least: float = 0.01, by: list[str] | None = None) -> DataFrame:
+    """``runs`` with ``slope``, the least-squares slope of the last ``last`` values over their places, and whether it is under ``least``."""
+    keys = by or [F.lit(1)]
+    placed = runs.withColumn("_i", F.row_number().over(W.partitionBy(*keys).orderBy(order)))
+    w = W.partitionBy(*keys).orderBy("_i").rowsBetween(-(last - 1), 0)
+    slope = F.regr_slope(F.col(metric), F.col("_i").cast("double")).over(w)
+    return placed.withColumn("slope", slope).withColumn("stagnant", F.coalesce(F.col("slope") < least, F.lit(False))).drop("_i")
+
+
+def scaled(df: DataFrame, column: str, how: str = "min_max", by: list[str] | None = None) -> DataFrame:
+    """``df`` with ``scaled``: between 0 and 1 (``min_max``; equal values give 0), as share of the sum (``sum``) or of the greatest (``max``)."""
+    w, c = W.partitionBy(*(by or [F.lit(1)])), F.col(column)
+    low, high, total = F.min(c).over(w), F.max(c).over(w), F.sum(c).over(w)
+    out = {"min_max": F.when(high > low, (c - low) / (high - low)), "sum": F.when(total != 0, c / total), "max": F.when(high > 0, c / high)}[how]
+    return df.withColumn("scaled", F.coalesce(out, F.when(c.isNotNull(), 0.0)))
+
+
+def thresholds(df: DataFrame, column: str, by: list[str], deviations: float = 3.0) -> DataFrame:
+    """``(by, mean, limit)`` with limit = mean + ``deviations`` * deviation of the whole group."""
+    return df.groupBy(*by).agg(F.avg(column).alias("mean"), (F.avg(column) + deviations * F.stddev_pop(column)).alias("limit"))
+
+
+def benchmark_summary(runs: DataFrame, by: list[str], column: str) -> DataFrame:
+    """``(by, n, total, mean, least, most, p50, p95, p99)``; a percentile is the value at place floor(n p), by rank and not by a collected list."""
+    ranked = runs.where(F.col(column).isNotNull()).withColumn("_r", F.row_number().over(W.partitionBy(*by).orderBy(column)) - 1)
+    size = ranked.groupBy(*by).agg(F.count(F.lit(1)).alias("n"))
+    at = lambda p: F.least(F.floor(F.col("n") * p), F.col("n") - 1)
+    picks = [F.max(F.when(F.col("_r") == at(p), F.col(column))).alias(f"p{round(100 * p)}") for p in (0.5, 0.95, 0.99)]
+    return ranked.join(size, by).groupBy(*by, "n").agg(F.sum(column).alias("total"), F.avg(column).alias("mean"), F.min(column).alias("least"), F.max(column).alias("most"), *picks)
+
+
 def alerts(watched: DataFrame, column: str, least: float | None = None, most: float | None = None) -> DataFrame:
     """Rows whose value is out of bounds, with ``alert`` saying which."""
     c = F.col(column)

@@ -11,6 +11,7 @@ from pyspark.sql import Window as W
 from graphmill.functions.similarity import text_similarity
 from graphmill.functions.text import split_words
 from graphmill.operators.search import merge_lists, ranked, small, top_k
+from graphmill.session import materialize
 
 # ---------------------------------------------------------------- structure
 
@@ -166,3 +167,28 @@ def reranked(results: DataFrame, k: int = 10, least: float = 0.0, model: Callabl
 
         results = results.withColumn("score", judge("query", "content"))
     return ranked(results.where(F.col("score") >= least), k)
+
+
+def chunks_of_ranked(ranked_entities: DataFrame, mentions: DataFrame, chunks: DataFrame) -> DataFrame:
+    """``(id, chunk, score, content)``: the chunks (chunk, content) that mention a ranked entity (id, score), by mentions (entity_id, chunk).
+
+    An entity no chunk mentions keeps one row without chunk and its id as content.
+    """
+    m = mentions.select(F.col("entity_id").alias("id"), "chunk").distinct().join(chunks.select("chunk", "content"), "chunk")
+    return ranked_entities.select("id", "score").join(m, "id", "left").select("id", "chunk", "score", F.coalesce("content", F.col("id").cast("string")).alias("content"))
+
+
+def in_order(subqueries: DataFrame, depends: DataFrame, most: int = 50) -> DataFrame:
+    """``(id, turn)``: parts of a question (id) by the turn in which they can be answered; ``depends`` has id and on.
+
+    Parts that wait for each other in a circle are an error.
+    """
+    waits = depends.select("id", "on").distinct()
+    turn = subqueries.select("id", F.lit(0).alias("turn"))
+    for _ in range(most):
+        later = waits.join(turn.select(F.col("id").alias("on"), (F.col("turn") + 1).alias("t")), "on").groupBy("id").agg(F.max("t").alias("t"))
+        new = materialize(turn.join(later, "id", "left").select("id", F.greatest("turn", F.coalesce("t", F.lit(0))).alias("turn")), "turns")
+        if new.exceptAll(turn).isEmpty():
+            return new
+        turn = new
+    raise ValueError("parts of the question wait for each other")
