@@ -170,6 +170,24 @@ def stream_upserts(spark, sf):
     return changes.read_upserts(spark, f"{path}/table").select("user_id", "event_type", "value")
 
 
+@query("SELECT subscriber, event_type, count(*) AS n FROM events, (VALUES ('one'), ('two')) s(subscriber) WHERE ts IS NOT NULL GROUP BY 1, 2")
+def published_changes(spark, sf):
+    """Events published in two calls and followed by two subscribers, one of them in two turns."""
+    path = new_path(spark, "feed")
+    e = table(spark, sf, "events").where("ts is not null").select("event_id", "event_type")
+
+    def follow(who):
+        sink = lambda batch, number: batch.groupBy("event_type").agg(F.count(F.lit(1)).alias("n")).withColumn("subscriber", F.lit(who)).write.mode("overwrite").parquet(f"{path}/out/{who}-{number}")
+        changes.run_available(changes.subscribe(spark, path, "event_id bigint, event_type string"), sink, f"{path}/checkpoint-{who}")
+
+    changes.publish(e.where("event_id % 2 = 0"), path)
+    follow("one")
+    changes.publish(e.where("event_id % 2 = 1"), path)
+    follow("one")
+    follow("two")
+    return spark.read.parquet(f"{path}/out/*").groupBy("subscriber", "event_type").agg(F.sum("n").alias("n"))
+
+
 @query("""WITH m AS (SELECT n_name AS name FROM nation) SELECT lower(name) || '!' AS mention, name AS id FROM m""")
 def best_match(spark, sf):
     n = table(spark, sf, "nation").select(F.col("n_name").alias("name"), F.lit("NATION").alias("entity_type"))

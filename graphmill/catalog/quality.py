@@ -98,6 +98,16 @@ def query_checks(spark, sf):
     return table(spark, sf, "documents").select("doc_id", quality.query_fault("title").alias("fault"), quality.sanitized("title").alias("clean"))
 
 
+@query(r"""WITH w AS (SELECT doc_id AS query_id, list_distinct(regexp_extract_all(lower(coalesce(title, '')), '[\p{L}\p{N}\p{M}_]+')) AS a, list_distinct(regexp_extract_all(lower('rate the answer from 0 to 1 as json context question ' || coalesce(lang, '')), '[\p{L}\p{N}_]+')) AS k FROM documents)
+SELECT query_id, round(CASE WHEN len(a) = 0 THEN 0 ELSE len(list_intersect(a, k)) / len(a) END, 6) AS score, CASE WHEN len(a) = 0 THEN false ELSE len(list_intersect(a, k)) / len(a) >= 0.1 END AS passed FROM w""")
+def evaluated_answers(spark, sf):
+    """Titles as answers to the question of their language."""
+    from graphmill.models import evaluated
+
+    d = table(spark, sf, "documents").select(F.col("doc_id").alias("query_id"), F.col("lang").alias("query"), F.col("title").alias("answer"))
+    return evaluated(d, least=0.1).select("query_id", F.round("score", 6).alias("score"), "passed")
+
+
 # ---------------------------------------------------------------- texts
 
 _SENT = "list_filter(list_transform(string_split_regex(coalesce(text, ''), '[.!?]'), lambda s: trim(regexp_replace(s, '\\s+', ' ', 'g'))), lambda s: s <> '')"

@@ -55,6 +55,28 @@ def checked(answered: DataFrame, least: float = 0.7) -> DataFrame:
     return answered.withColumn("problems", problems).withColumn("accepted", F.size("problems") == 0)
 
 
+def overlap_judge(prompts: list[str]) -> list[str]:
+    """Stands in for a judging model: the share of the answer's words that the question or the context holds, as JSON."""
+    out = []
+    for p in prompts:
+        answer = set(re.findall(r"\w+", (re.findall(r"(?ms)^Answer: (.*)\Z", p) or [""])[0].lower()))
+        known = set(re.findall(r"\w+", p.split("\nAnswer:")[0].lower()))
+        out.append(json.dumps({"score": len(answer & known) / len(answer) if answer else 0.0}))
+    return out
+
+
+def evaluated(answered: DataFrame, model: Model = overlap_judge, least: float = 0.7) -> DataFrame:
+    """``answered`` (query_id, query, answer and, if known, context) with a model's ``score`` in [0, 1] and whether it ``passed``.
+
+    The model answers ``{"score": …}``; what is no such JSON scores null and does not pass.
+    """
+    context = F.coalesce(F.col("context"), F.lit("")) if "context" in answered.columns else F.lit("")
+    prompt = F.concat(F.lit("Rate the answer from 0 to 1 as JSON.\nContext: "), context, F.lit("\nQuestion: "), F.coalesce("query", F.lit("")), F.lit("\nAnswer: "), F.coalesce("answer", F.lit("")))
+    said = F.from_json(F.regexp_extract(generate(prompt, model), r"(?s)\{.*\}", 0), "score double")["score"]
+    out = answered.withColumn("score", F.greatest(F.lit(0.0), F.least(F.lit(1.0), said)))
+    return out.withColumn("score", F.when(said.isNotNull(), F.col("score"))).withColumn("passed", F.coalesce(F.col("score") >= least, F.lit(False)))
+
+
 EXTRACTED = "struct<entities:array<struct<name:string,type:string,confidence:double>>,relationships:array<struct<source:string,target:string,relation_type:string,confidence:double>>>"
 
 

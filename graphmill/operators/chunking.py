@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import heapq
 import re
+from bisect import bisect_right
 from collections import Counter
 from collections.abc import Callable, Iterator
 
@@ -98,25 +99,33 @@ SEPARATORS = ("\n\n", "\n", ". ", "! ", "? ", "; ", ": ", " ")
 
 
 def hierarchical_cuts(text: str, size: int, overlap: int, least: int = 50) -> list[tuple]:
-    """Windows ended after the last strongest separator beyond their first quarter; starts fall back to a word's begin."""
-    out, start, n = [], 0, len(text)
-    while start < n:
-        end = min(start + size, n)
-        if end < n:
-            quarter = start + (end - start) // 4
-            for mark in SEPARATORS:
-                at = text.rfind(mark, start, end)
-                if at >= 0 and at + len(mark) > quarter:
-                    end = at + len(mark)
-                    break
-        if len(text[start:end].strip()) >= least:
-            out.append((len(out), start, end, text[start:end]))
-        if end >= n:
+    """Windows ended after the last strongest separator beyond their first quarter; starts fall back to a word's begin.
+
+    All places where a separator ends are listed once, by separator, and so are
+    the begins of words; each window looks its places up in the sorted lists.
+    """
+    places = [(len(mark), [m.start() + len(mark) for m in re.finditer(f"(?={re.escape(mark)})", text)]) for mark in SEPARATORS]
+    begins = [m.end() for m in re.finditer(r"[ \n\t]", text)]
+
+    def last(sorted_places: list[int], low: int, high: int) -> int | None:
+        """The greatest place in (low, high]."""
+        k = bisect_right(sorted_places, high)
+        return sorted_places[k - 1] if k and sorted_places[k - 1] > low else None
+
+    spans, at = [], 0
+    while at < len(text):
+        full = min(at + size, len(text))
+        cut = full
+        if full < len(text):
+            ends = (last(p, max(at + (full - at) // 4, at + n - 1), full) for n, p in places)
+            cut = next((e for e in ends if e is not None), full)
+        spans.append((at, cut))
+        if cut == len(text):
             break
-        back = end - overlap
-        word = max((text.rfind(c, start + 1, back) for c in " \n\t"), default=-1) + 1
-        start = word if word > start else max(back, start + 1)
-    return out
+        back = cut - overlap
+        at = last(begins, at + 1, back) or max(back, at + 1)
+    kept = [(a, b) for a, b in spans if len(text[a:b].strip()) >= least]
+    return [(i, a, b, text[a:b]) for i, (a, b) in enumerate(kept)]
 
 
 _SENTENCE = re.compile(r"[^.!?]+[.!?]*\s*")

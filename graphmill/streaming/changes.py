@@ -134,6 +134,16 @@ def run_available(stream: DataFrame, each_batch: Callable[[DataFrame, int], None
     q.awaitTermination()
 
 
+def publish(changes: DataFrame, path: str) -> None:
+    """Add changes to a log that others may follow; each call adds files and rewrites none."""
+    changes.write.mode("append").parquet(f"{path}/log")
+
+
+def subscribe(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """The log of ``publish`` as a stream: every subscriber gets every change once, from its own checkpoint."""
+    return spark.readStream.schema(schema).parquet(f"{path}/log")
+
+
 def upsert_sink(path: str, key: list[str], order: list[str], buckets: int = 64) -> Callable[[DataFrame, int], None]:
     """A ``foreachBatch`` sink that merges change batches into a table of hash buckets; a batch seen before is not merged twice.
 

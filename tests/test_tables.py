@@ -145,7 +145,7 @@ def test_entities(spark):
     assert ("Karin Velikamont", "PERSON") in got and ("Port Brufokong", "LOCATION") in got and any(t == "ORGANIZATION" for _, t in got)
     assert all(text[r["start_offset"] : r["end_offset"]] == r["name"] for r in m.collect())
     rel = entities.relations_in_chunks(m.withColumnRenamed("id", "chunk"))
-    assert {r["relation_type"] for r in rel.collect()} >= {"KNOWS", "WORKS_FOR", "LOCATED_IN"}
+    assert {r["relation_type"] for r in rel.collect()} >= {"KNOWS", "ASSOCIATED_WITH", "LOCATED_IN"}
     e = spark.createDataFrame([("1", "Velikamont Institute", "ORG", 0.9), ("2", "Velikamont Institut", "ORG", 0.5), ("3", "Other", "ORG", 0.5), ("4", None, "ORG", 0.1)], "id string, name string, entity_type string, confidence double")
     got = {r["id"]: r["canonical"] for r in entities.linked_clusters(e).collect()}
     assert got == {"1": "1", "2": "1", "3": "3", "4": "4"}
