@@ -122,14 +122,16 @@ def closeness(spark, sf):
 
 def _doubled(rounds: int) -> str:
     """Least distances of all pairs by paths of 2, 4, 8 … edges."""
-    steps = ["d0 AS (SELECT a, b, min(w) AS d FROM (SELECT a, b, 1.0 / weight AS w FROM u UNION ALL SELECT DISTINCT a, a, 0.0 FROM u) GROUP BY 1, 2)"]
+    steps = ["d0 AS (SELECT a, b, min(w) AS d FROM (SELECT a, b, 1.0 / weight + (least(a, b) * 37 + greatest(a, b) * 101) % 997 * 1e-7 AS w FROM u UNION ALL SELECT DISTINCT a, a, 0.0 FROM u) GROUP BY 1, 2)"]
     return ", ".join(steps + [f"d{i + 1} AS (SELECT x.a, y.b, min(x.d + y.d) AS d FROM d{i} x JOIN d{i} y ON x.b = y.a GROUP BY 1, 2)" for i in range(rounds)])
 
 
 @query(f"""WITH {_M}, {_doubled(5)}, i AS (SELECT x.b AS node, count(*) AS k FROM d5 p JOIN d5 x ON x.a = p.a JOIN d5 y ON y.a = x.b AND y.b = p.b WHERE x.b <> p.a AND x.b <> p.b AND p.a <> p.b AND abs(x.d + y.d - p.d) < 1e-12 GROUP BY 1), n AS (SELECT count(DISTINCT a) AS n FROM u)
 SELECT CAST(v.a AS VARCHAR) AS node, round(coalesce(k, 0) / greatest((n - 1) * (n - 2) / 2, 1), 6) AS betweenness FROM (SELECT DISTINCT a FROM u) v LEFT JOIN i ON i.node = v.a, n""")
 def betweenness(spark, sf):
-    e = mesh(spark, sf).select(F.col("source").cast("string").alias("source"), F.col("target").cast("string").alias("target"), (1 / F.col("weight")).alias("weight"))
+    """Lengths are 1 / lines and a trifle that differs from edge to edge, so that no two paths are equal."""
+    length = 1 / F.col("weight") + (F.col("source") * 37 + F.col("target") * 101) % 997 * 1e-7
+    e = mesh(spark, sf).select(F.col("source").cast("string").alias("source"), F.col("target").cast("string").alias("target"), length.alias("weight"))
     return graph.betweenness(e, e.select(F.col("source").alias("node")).unionByName(e.select(F.col("target").alias("node"))).distinct()).withColumn("betweenness", F.round("betweenness", 6))
 
 
