@@ -136,7 +136,7 @@ def title_of(text: str | Column) -> Column:
     """The first markdown heading, or else the first line with text."""
     t = F.coalesce(_col(text), F.lit(""))
     heading = F.trim(F.regexp_extract(t, r"(?m)^#{1,6}\s+(.+)$", 1))
-    lines = F.filter(F.transform(F.split(t, "\n"), F.trim), lambda x: x != "")
+    lines = F.filter(F.transform(F.split(t, "\n"), lambda x: F.trim(x)), lambda x: x != "")
     return F.when(heading != "", heading).otherwise(F.try_element_at(lines, F.lit(1)))
 
 
