@@ -36,7 +36,7 @@ PIVOTS_PER_ROOT, FEWEST_PIVOTS, MOST_PIVOTS = 6.5, 48, 32_768
 #: Vectors of a longer list are indexed again, in so many levels at most; lists of the last level give all their pairs.
 LIMIT, LEVELS = 2048, 4
 #: Bits of the brief permutation, and those in which a candidate pair may differ.
-BITS, MAX_BITS_APART = 128, 43
+BITS, MAX_BITS_APART = 128, 36
 #: Footrule distance of the ordered nearest pivots beyond which a pair is no candidate.
 MAX_FOOTRULE = 80.0
 
