@@ -36,9 +36,9 @@ PIVOTS_PER_ROOT, FEWEST_PIVOTS, MOST_PIVOTS = 6.5, 48, 32_768
 #: Vectors of a longer list are indexed again, in so many levels at most; lists of the last level give all their pairs.
 LIMIT, LEVELS = 2048, 4
 #: Bits of the brief permutation, and those in which a candidate pair may differ.
-BITS, MAX_BITS_APART = 128, 36
+BITS, MAX_BITS_APART = 128, 39
 #: Footrule distance of the ordered nearest pivots beyond which a pair is no candidate.
-MAX_FOOTRULE = 80.0
+MAX_FOOTRULE = 82.0
 
 
 def usable(df: DataFrame, id_col: str = "id", vector_col: str = "embedding", dim: int = 96) -> DataFrame:
@@ -55,7 +55,7 @@ def _pivots(distinct: DataFrame, n: int, size: int) -> np.ndarray:
     """A sample of ``n`` of ``size`` vectors by hash, normalised; no task reads more than some 2 n of them."""
     hashed = distinct.select("v", F.xxhash64("h", F.lit(7)).alias("o"))
     if size > 4 * n:
-        hashed = hashed.where(F.pmod("o", F.lit(1 << 30)) < int((1 << 30) * (2 * n + 100) / size))
+        hashed = hashed.where(F.col("o") < int(2**64 * (2 * n + 100) / size) - 2**63)  # the smallest hashes, and so those of the order below
     rows = hashed.orderBy("o").limit(n).select("v").toArrow()
     m = np.stack([np.asarray(x, np.float64) for x in rows.column(0).to_pylist()])
     return (m / np.linalg.norm(m, axis=1, keepdims=True)).astype(np.float32)
