@@ -176,8 +176,9 @@ def nearest(df: DataFrame, k: int = 5, id_col: str = "id", vector_col: str = "em
         pairs = nodes.select(F.col("n").alias("x"), F.col("n").alias("y")).where(F.lit(False))
     else:
         pairs = levels[0] if len(levels) == 1 else reduce(DataFrame.unionByName, levels).distinct()
-    one = pairs.join(nodes.select(F.col("n").alias("x"), F.col("v").alias("vx")), "x")
-    two = one.join(nodes.select(F.col("n").alias("y"), F.col("v").alias("vy")), "y").select("x", "y", "vx", "vy")
+    # Joined by sorting at every size: vectors grow with the table and are never broadcast, however few they look.
+    one = pairs.hint("merge").join(nodes.select(F.col("n").alias("x"), F.col("v").alias("vx")), "x")
+    two = one.hint("merge").join(nodes.select(F.col("n").alias("y"), F.col("v").alias("vy")), "y").select("x", "y", "vx", "vy")
     scored = materialize(two.mapInArrow(_cosines, "x bigint, y bigint, cosine double").where(F.col("cosine") >= least), "cosines")
 
     named = materialize(members.join(nodes.select("h", "n"), "h").select("n", "id"), "members")
