@@ -74,18 +74,16 @@ def jaro(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series([None if x is None or y is None else _jaro(x, y) for x, y in zip(a, b)], dtype="float64")
 
 
+def _winkler(a: str, b: str) -> float:
+    j = _jaro(a, b)
+    same = next((k for k in range(min(4, len(a), len(b))) if a[k] != b[k]), min(4, len(a), len(b)))
+    return j + 0.1 * same * (1 - j)
+
+
 @F.pandas_udf(DoubleType())
 def jaro_winkler(a: pd.Series, b: pd.Series) -> pd.Series:
     """Jaro with a tenth of the rest for each of up to four common first letters."""
-    out = []
-    for x, y in zip(a, b):
-        if x is None or y is None:
-            out.append(None)
-            continue
-        j = _jaro(x, y)
-        same = next((k for k in range(min(4, len(x), len(y))) if x[k] != y[k]), min(4, len(x), len(y)))
-        out.append(j + 0.1 * same * (1 - j))
-    return pd.Series(out, dtype="float64")
+    return pd.Series([None if x is None or y is None else _winkler(x, y) for x, y in zip(a, b)], dtype="float64")
 
 
 # The sound classes of English Soundex.
@@ -118,3 +116,29 @@ def link_similarity(a: str | Column, b: str | Column, sound: bool = False) -> Co
     if sound:
         parts.append(F.when(soundex_steady(x) == soundex_steady(y), 0.9).otherwise(0.0))
     return F.when(x == y, 1.0).otherwise(F.greatest(*parts))
+
+
+def _edits(a: str, b: str, most: int) -> int:
+    """Levenshtein distance; ``most`` + 1 if it is larger than ``most``."""
+    if abs(len(a) - len(b)) > most:
+        return most + 1
+    row = list(range(len(b) + 1))
+    for i, x in enumerate(a, 1):
+        last, row = row, [i] + [most + 1] * len(b)
+        for j in range(max(1, i - most), min(len(b), i + most) + 1):
+            row[j] = min(last[j - 1] + (x != b[j - 1]), last[j] + 1, row[j - 1] + 1)
+        if min(row) > most:
+            return most + 1
+    return row[-1]
+
+
+def alike(a: str, b: str, least: float) -> bool:
+    """Whether ``link_similarity`` of two normalised names, without Soundex, is at least ``least``."""
+    if a == b or _winkler(a, b) >= least:
+        return True
+    longer = max(len(a.encode()), len(b.encode()))
+    for d in (1, 2):
+        if 1 - d / longer >= least and _edits(a, b, d) == d:
+            return True
+    x, y = set(a.split()), set(b.split())
+    return bool(x | y) and len(x & y) / len(x | y) >= least

@@ -3,12 +3,19 @@
 from __future__ import annotations
 
 import re
-
+from collections import Counter
+from collections.abc import Iterator
+from functools import lru_cache
+from hashlib import blake2b
+from itertools import combinations
+from math import ceil, comb
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from graphmill.functions.similarity import jaccard, link_similarity
-from graphmill.functions.text import CONCEPT_STOP_WORDS, entity_id, normalize_for_linking
+from graphmill.functions.similarity import alike, jaccard, link_similarity
+from graphmill.functions.text import CONCEPT_STOP_WORDS, entity_id, normalize_for_linking, split_words
 from graphmill.operators import baskets
 from graphmill.operators.chunking import per_row
 from graphmill.operators.components import connected_components
@@ -175,9 +182,120 @@ def link_pairs(entities: DataFrame, least: float = 0.85, sound: bool = False, ho
     return pairs.select("a", "b", link_similarity("na", "nb", sound).alias("similarity")).where(F.col("similarity") >= least)
 
 
+#: Keys that a name has at most for partners of one length: parts in order, and sets of letters or words.
+ORDERED, SETS = 200, 64
+#: Names that a task keeps at once to pass over pairs that are connected already.
+KEPT = 200_000
+# Letters by their frequency in English, rare ones first; others are rarer.
+_COMMON_LAST = {c: i for i, c in enumerate("zqxjkvbpgwyfmculdhrsnioate", 1)}
+
+
+@lru_cache(maxsize=None)
+def _shared(short: int, long: int, most_bytes: int, least: float) -> tuple[int | None, int | None]:
+    """What names of two lengths have in common if they are alike: so many letters in one order, or so many letters in any."""
+    jaro = (least - 0.4) / 0.6 - 1e-9  # with four common first letters
+
+    def matched(swaps: int) -> int | None:
+        return next((m for m in range(1, short + 1) if (m / short + m / long + (m - swaps) / m) / 3 >= jaro), None)
+
+    unedited = max(long - min(2, int((1 - least) * most_bytes + 1e-9)), 0)
+    ordered = min((m for m in (matched(0), unedited if unedited <= short else None) if m is not None), default=None)
+    swapped = matched(1)
+    if ordered is not None and (ordered == swapped or comb(long, ordered) > ORDERED):
+        return None, ordered
+    return ordered, swapped
+
+
+def _subsets(items: list[str], common: int, most: int) -> Iterator[tuple]:
+    """Keys of a list of which at least one is met in any list of up to ``most`` items that shares ``common`` with it.
+
+    Both are in one order.  The first c shared items are among the first
+    n - common + c of each, so sets of c of these are the keys; c is as large as ``SETS`` allows.
+    """
+    c = min(common, 1)
+    while c < common and comb(most - common + c + 1, c + 1) <= SETS:
+        c += 1
+    return combinations(items[: len(items) - common + c], c)
+
+
+def spelling_keys(name: str, lengths: dict[int, int], counts: set[int], least: float) -> set[str]:
+    """Keys of a normalised name; two names whose ``link_similarity`` without Soundex is at least ``least`` (above 0) share one.
+
+    Jaro-Winkler needs a number of matched letters that follows from both
+    lengths; they come in one order unless more are matched and some swapped.
+    Levenshtein leaves a part in order, Jaccard a number of words.  ``lengths``
+    are those of all names with their most bytes, ``counts`` their numbers of words.
+    """
+    n, out = len(name), set()
+    met = Counter()
+    letters = []
+    for c in name:
+        letters.append((-met[c], _COMMON_LAST.get(c, 0), c))
+        met[c] += 1
+    letters = [f"{c}{k}" for k, _, c in sorted(letters)]
+    for other in lengths:
+        short, long = min(n, other), max(n, other)
+        ordered, anyhow = _shared(short, long, max(lengths[n], lengths[other]), least)
+        if ordered is not None:
+            out |= {f"o{short},{long}:{''.join(part)}" for part in combinations(name, ordered)}
+        if anyhow is not None:
+            out |= {f"a{short},{long}:{''.join(part)}" for part in _subsets(letters, anyhow, long)}
+    words = sorted(set(name.split()), key=lambda w: (-len(w), w))
+    for other in counts:
+        few, many = min(len(words), other), max(len(words), other)
+        common = max(ceil(least / (1 + least) * (few + many) - 1e-9), 1)
+        if common <= few:
+            out |= {f"w{few},{many}:{' '.join(part)}" for part in _subsets(words, common, many)}
+    return out
+
+
+def spelling_links(entities: DataFrame, least: float = 0.85) -> DataFrame:
+    """``(a, b)``: links that connect any two entities (id, name, entity_type) of one type whose names' ``link_similarity`` is at least ``least``, directly or by others.
+
+    Equal names are linked to the smallest id of theirs, which stands for them.
+    Different names are compared if they share one of the ``spelling_keys``;
+    none alike are lost.  A task passes over pairs that it has connected.
+    The lower ``least``, the more keys and pairs.
+    """
+    e = entities.where("name is not null and entity_type is not null").select("id", "entity_type", normalize_for_linking("name").alias("norm"))
+    spelt = materialize(e.groupBy("entity_type", "norm").agg(F.min("id").alias("a")), "spellings")
+    same = e.join(spelt, ["entity_type", "norm"]).where("a != id").select("a", F.col("id").alias("b"))
+    lengths = {r["n"]: r["bytes"] for r in spelt.groupBy(F.length("norm").alias("n")).agg(F.max(F.octet_length("norm")).alias("bytes")).collect()}
+    counts = {r["n"] for r in spelt.select(F.size(F.array_distinct(split_words("norm"))).alias("n")).distinct().collect()}
+
+    def keys(name: str) -> list[tuple]:
+        return [(int.from_bytes(blake2b(k.encode(), digest_size=8).digest(), "big", signed=True),) for k in spelling_keys(name, lengths, counts, least)]
+
+    keyed = per_row(spelt.withColumn("x", F.struct("entity_type", "a", "norm")), "x", "norm", keys, "key bigint")
+    held = materialize(keyed.select(F.struct("x.entity_type", "key").alias("basket"), "x.a", "x.norm"), "spelling-keys")
+    pairs = baskets.pairs(held, "basket", "a", "norm").select("a", "b", "norm_a", "norm_b")
+
+    def connect(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        above: dict = {}
+
+        def top(x):
+            while (up := above.get(x, x)) != x:
+                above[x] = x = above.get(up, up)
+            return x
+
+        for batch in batches:
+            chosen = []
+            for i, (a, b, x, y) in enumerate(zip(*[c.to_pylist() for c in batch.columns])):
+                p, q = top(a), top(b)
+                if p != q and alike(x, y, least):
+                    above[q] = p
+                    chosen.append(i)
+            if len(above) > KEPT:
+                above.clear()
+            yield batch.select(["a", "b"]).take(pa.array(chosen, pa.int64()))
+
+    return same.unionByName(pairs.mapInArrow(connect, spelt.select("a", F.col("a").alias("b")).schema))
+
+
 def linked_clusters(entities: DataFrame, least: float = 0.85) -> DataFrame:
-    """``(id, cluster, canonical)``: connected spellings; canonical is the member of the highest confidence, then longest name."""
-    parts = connected_components(link_pairs(entities, least), "a", "b").withColumnRenamed("node", "id")
+    """``(id, cluster, canonical)``: connected spellings (``spelling_links``); canonical is the member of the highest confidence, then longest name."""
+    links = materialize(spelling_links(entities, least), "spelling-links")
+    parts = connected_components(links, "a", "b").withColumnRenamed("node", "id")
     rows = materialize(entities.join(parts, "id", "left").withColumn("cluster", F.coalesce("component", "id")), "clusters")
     best = rows.groupBy("cluster").agg(F.max_by("id", F.struct("confidence", F.length("name"), "id")).alias("canonical"))
     return rows.join(best, "cluster").select("id", "cluster", "canonical")

@@ -44,6 +44,41 @@ def test_hot_words_do_not_lose_alike_names(spark):
     assert tight == free and len(free) >= 2
 
 
+def test_clusters_hold_all_alike_names(spark):
+    # alike without a common word, sound or third letter; one type only; blank, missing and repeated names
+    names = ["Supplier#000000001", "Supxlier#000000001", "supplier 000000001", "Anna Maria Berg", "Berg, Anna Maria", "Bregenz Valley Archive Society", "Bregenz Vallye Archive Society", "Otto", "Kim", "#", "!?", None, None]
+    rows = [(i, n, "ORG", 0.5) for i, n in enumerate(names)] + [(100 + i, n, "P", 0.5) for i, n in enumerate(names)] + [(7, "Kim", "ORG", 0.5), (200, "Otto", None, 0.5)]
+    e = spark.createDataFrame(rows, "id long, name string, entity_type string, confidence double")
+    for least in (0.97, 0.85):
+        x, y = (e.where("name is not null").select(F.col("id").alias(i), F.col("name").alias(n), "entity_type") for i, n in (("a", "na"), ("b", "nb")))
+        pairs = x.join(y, "entity_type").select("a", "b", entities.link_similarity("na", "nb").alias("s")).where(F.col("s") >= least).collect()
+        want = {r[0]: r[0] for r in rows}
+        for _ in rows:
+            for r in pairs:
+                want[r["a"]] = want[r["b"]] = min(want[r["a"]], want[r["b"]])
+        got = {(r["id"], r["cluster"]) for r in entities.linked_clusters(e, least).collect()}
+        assert got == set(want.items()) and want[1] == 0 and want[8] == 7 and want[100] == 100
+
+
+def test_alike_names_share_a_key():
+    numbered = [f"supplier{i:09}" for i in range(0, 3000, 7)]
+    odd = ["", "é", "à", "a b", "b a", "anna maria berg", "berg anna maria", "anna marie berg", "anan maria berg", "university of brakostead", "univresity of brakostead", "university of brakosteads"]
+    for least, names in ((0.97, numbered + odd), (0.85, numbered[:40] + odd), (0.4, odd)):
+        lengths = {len(n): max(len(m.encode()) for m in names if len(m) == len(n)) for n in names}
+        keys = {n: entities.spelling_keys(n, lengths, {len(set(n.split())) for n in names}, least) for n in names}
+        assert not [(a, b) for a, b in itertools.combinations(names, 2) if entities.alike(a, b, least) and not keys[a] & keys[b]]
+    assert entities.alike("supplier000000001", "supplier000000010", 0.97) and not entities.alike("supplier000000001", "supplier000012345", 0.97)
+
+
+def test_numbered_names_are_compared_with_few():
+    names = [f"supplier{i:09}" for i in range(6000)]
+    baskets_of = {}
+    for n in names:
+        for k in entities.spelling_keys(n, {17: 17}, {1}, 0.97):
+            baskets_of[k] = baskets_of.get(k, 0) + 1
+    assert sum(n * (n - 1) // 2 for n in baskets_of.values()) < 100 * len(names)  # all pairs: 3,000 a name
+
+
 def test_strategies_of_linking(spark):
     rows = [("a", "Anna Berg", "P", [1.0, 0.0]), ("b", "anna berg", "P", [0.0, 1.0]), ("c", "Annna Berg", "P", [-1.0, 0.0]), ("d", "Zed", "P", [0.99, 0.01]), ("e", "Anna Berg", "ORG", [0.0, -1.0])]
     e = spark.createDataFrame(rows, "id string, name string, entity_type string, embedding array<double>").withColumn("confidence", F.lit(0.9))
